@@ -4,6 +4,39 @@ ORACLE: dict[str, str] = {}
 
 _WORDS8 = "string_split(trim(regexp_replace(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ')"
 
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+    SELECT r, {rank} AS rank, '{kind}' AS kind,
+           list_sum(list_transform(between[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k-1], lambda x: length(x))), 0) AS s,
+           length(found[k]) AS n
+    FROM (SELECT r, string_split_regex(t, '{p}') AS between, regexp_extract_all(t, '{p}', 0) AS found, regexp_extract_all(t, '{p}', {group}) AS val FROM d),
+         LATERAL (SELECT unnest(generate_series(1, len(found))) AS k) WHERE length(val[k]) >= {least}"""
+
+
+def _secrets_sql() -> str:
+    from .secretscan import ADDED, BASE
+
+    rules = BASE + ADDED
+    spans = " UNION ALL ".join(_spans_sql(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(rules))
+    base = len(BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s0 AS ({spans}),
+s AS (SELECT r, rank, s, concat(kind, ':', CAST(s AS BIGINT), ':', CAST(s + n AS BIGINT)) AS span FROM s0),
+g AS (SELECT r, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
+             string_agg(span, ',' ORDER BY s, rank) FILTER (rank < {base}) AS base, string_agg(span, ',' ORDER BY s, rank) AS every,
+             count(*) FILTER (rank >= {base}) AS added FROM s GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(every, '') AS spans, coalesce(added, 0) AS n_added
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+ORACLE["op1_secrets"] = _secrets_sql()
+
 ORACLE["op8_decontamination"] = f"""
 WITH d0 AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 d AS (SELECT r, doc_id, list_filter({_WORDS8.format(t='t')}, lambda x: x <> '') AS w FROM d0),

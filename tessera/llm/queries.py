@@ -22,6 +22,13 @@ def query(f):
     return prepared
 
 
+@query
+def op1_secrets(spark, sf_dir):
+    from .secretscan import secrets
+
+    return secrets(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_toxicity(spark, sf_dir):
     from .compression import toxicity
@@ -29,6 +36,13 @@ def op2_toxicity(spark, sf_dir):
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_token_files(spark, sf_dir):
+    from .rans import encoded
+
+    return encoded(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_decontamination(spark, sf_dir):
     from .positional import contaminated_words
@@ -41,3 +55,10 @@ def op9_simhash(spark, sf_dir):
     from .simhash import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_packing(spark, sf_dir):
+    from .packing import packed
+
+    return packed(read_table(spark, sf_dir, "documents"))
