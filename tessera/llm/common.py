@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows of one Arrow batch: whole texts pass through Python, so batches are kept short.
 BATCH_ROWS = 256
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def prepare(spark: SparkSession) -> None:
     """Short Arrow batches, and a package path that Python workers can import from."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment

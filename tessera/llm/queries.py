@@ -36,6 +36,13 @@ def op2_toxicity(spark, sf_dir):
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_quality(spark, sf_dir):
+    from .boosting import quality
+
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_token_files(spark, sf_dir):
     from .rans import encoded
@@ -43,6 +50,13 @@ def op6_token_files(spark, sf_dir):
     return encoded(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_edit_counts(spark, sf_dir):
+    from .editcount import edit_counts, standard_edits
+
+    return edit_counts(read_table(spark, sf_dir, "documents").withColumn("edits", standard_edits()))
+
+
 @query
 def op8_decontamination(spark, sf_dir):
     from .positional import contaminated_words
@@ -62,3 +76,10 @@ def op10_packing(spark, sf_dir):
     from .packing import packed
 
     return packed(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
