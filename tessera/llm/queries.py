@@ -43,6 +43,13 @@ def op4_quality(spark, sf_dir):
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_fingerprints(spark, sf_dir):
+    from .iblt import fingerprints
+
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_token_files(spark, sf_dir):
     from .rans import encoded
