@@ -36,6 +36,13 @@ def op2_toxicity(spark, sf_dir):
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_katz(spark, sf_dir):
+    from .katz import scored
+
+    return scored(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_quality(spark, sf_dir):
     from .boosting import quality
