@@ -71,7 +71,7 @@ def split_files(files: DataFrame, most: int = DEFAULT_BYTES) -> DataFrame:
 
 
 def normal_projects(ids: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(ids, F.trim), lambda p: p != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(ids, lambda p: F.trim(p)), lambda p: p != "")))
 
 
 def header(language: Column, path: Column, label: Column, declaration: Column | None = None, parent: Column | None = None, fallback: Column | None = None, split: Column | None = None) -> Column:

@@ -12,7 +12,8 @@ from ..operators import policy
 
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, content, size) of the regular files below a folder, by Spark's binary file source."""
+    """(path, content, size) of the regular files below a folder, by Spark's binary file source, which passes over names
+    that begin with a dot or an underscore."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -91,8 +92,10 @@ def snapshot_bundle(snapshot: dict) -> tuple[str, str]:
 
 
 def save_spool(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    """Appends (id, payload) bundles whose id isn't there yet; an id that holds something else raises."""
-    checked = rows.withColumn("payload", F.when(F.sha2(F.col("payload").cast("binary"), 256) == F.col("id"), F.col("payload")).otherwise(F.raise_error(F.lit("a bundle does not match its id"))))
+    """Appends (id, payload) bundles whose id isn't there yet; a payload that isn't what its id says raises."""
+    if not rows.filter(F.sha2(F.col("payload").cast("binary"), 256) != F.col("id")).isEmpty():
+        raise ValueError("a bundle does not match its id")
+    checked = rows
     try:
         there = spark.read.parquet(path)
         checked = checked.join(there.select("id"), "id", "left_anti")
