@@ -214,11 +214,11 @@ SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
 def _spans(rule: Rule, rank: int) -> Column:
-    """The rule's spans in column body, leftmost and non-overlapping, then those with a long enough group. Offsets
+    """The rule's spans in column __body, leftmost and non-overlapping, then those with a long enough group. Offsets
     come from the lengths of the matches and of the text between them."""
-    between = F.split("body", rule.pattern, -1)
-    found = F.regexp_extract_all("body", F.lit(rule.pattern), F.lit(0))
-    value = F.regexp_extract_all("body", F.lit(rule.pattern), F.lit(rule.group))
+    between = F.split("__body", rule.pattern, -1)
+    found = F.regexp_extract_all("__body", F.lit(rule.pattern), F.lit(0))
+    value = F.regexp_extract_all("__body", F.lit(rule.pattern), F.lit(rule.group))
     zipped = F.arrays_zip(between.alias("p"), found.alias("m"), value.alias("v"))
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
 
@@ -248,9 +248,9 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataF
     none = F.array().cast(SPAN)
     found = []
     for rank, r in enumerate(rules):
-        asked = F.array_contains("__rules", r.kind) if queries[r.kind] is not True else F.col("body").rlike(r.pattern)
+        asked = F.array_contains("__rules", r.kind) if queries[r.kind] is not True else F.col("__body").rlike(r.pattern)
         found.append(F.when(F.coalesce(asked, F.lit(False)), _spans(r, rank)).otherwise(none))
-    return joined.withColumn("body", body).withColumn("__spans", F.array_sort(F.concat(*found))).drop("__key", "__rules", "body")
+    return joined.withColumn("__body", body).withColumn("__spans", F.array_sort(F.concat(*found))).drop("__key", "__rules", "__body")
 
 
 def secrets(docs: DataFrame, added: tuple[Rule, ...] = ADDED) -> DataFrame:
