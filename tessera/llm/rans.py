@@ -114,13 +114,15 @@ def checkpoints(block: dict) -> list[tuple[int, int, np.ndarray]]:
 
 
 def decode_block(block: dict, table: Table, point: int | None = None) -> np.ndarray:
-    """The ids of a block; with point, those from that checkpoint on. A whole block is held against its checksum."""
+    """The ids of a block; with point, those from that checkpoint on. The stream must end, with every lane
+    back at its first state, where the ids do; a whole block is also held against its checksum."""
     n, lanes = block["n"], block["lanes"]
     stream = np.frombuffer(block["stream"], "<u4").astype(U)
     first, place, x = 0, 0, np.frombuffer(block["states"], "<u8").astype(U)
     if point is not None:
         first, place, x = checkpoints(block)[point]
         x = x.astype(U)
+    x = x.copy()
     out = np.empty(n - first * lanes, np.uint32)
     for t in range(first, -(-n // lanes)):
         width = min(lanes, n - t * lanes)
@@ -134,7 +136,7 @@ def decode_block(block: dict, table: Table, point: int | None = None) -> np.ndar
             now[need] = now[need] << U(32) | stream[place : place + len(need)]
             place += len(need)
         x[:width] = now
-    if point is None and zlib.crc32(out.astype(WIDE).tobytes()) != block["crc"]:
+    if place != len(stream) or (x != LOW).any() or (point is None and zlib.crc32(out.astype(WIDE).tobytes()) != block["crc"]):
         raise ValueError("a block does not match its checksum")
     return out
 
