@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -215,11 +216,9 @@ def test_word_tables_are_exact(text):
         assert tokens.encoder(tokens.default_path(name)).ids(text).tolist() == whole_cached(name)(text)
 
 
-_WHOLE = {}
-
-
+@lru_cache(maxsize=None)
 def whole_cached(name):
-    return _WHOLE.setdefault(name, whole(name))
+    return whole(name)
 
 
 def test_special_tokens_and_a_full_table():
