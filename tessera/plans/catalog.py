@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, embeddings, graphs, policy, projects, rank, search
+from ..operators import chunking, embeddings, graphs, policy, projects, rank, search, syntax
 from ..streaming import jobs
 from ..tables import chunks, conversation_chunks, files, graph, table
 from . import retrieval
@@ -497,6 +497,49 @@ def resolve_references(spark, sf_dir):
     return graphs.resolve_references(refs, p.filter("p_size = 7").select(F.col("p_type").alias("name"), F.concat(F.lit("p:"), "p_partkey").alias("id")))
 
 
+# --- parsed source ----------------------------------------------------------------------------------
+
+
+def _turn_reports(spark, sf_dir):
+    """Conversations as parsed files: a declaration per turn, nested in the one before it, a reference per turn."""
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("file_id"), "turn", "role", F.octet_length("text").cast("bigint").alias("size"))
+    none = F.array()
+    symbol = F.struct(
+        F.col("turn").cast("string").alias("id"), F.col("role").alias("name"), F.lit("function").alias("kind"), F.when(F.col("turn") == 0, "").otherwise((F.col("turn") - 1).cast("string")).alias("parent_id"),
+        F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"), F.lit(None).cast("string").alias("type"), F.lit("public").alias("visibility"), none.cast("array<string>").alias("modifiers"),
+        none.cast("array<string>").alias("attributes"), none.cast(f"array<{syntax.PARAMETER}>").alias("parameters"),
+    )
+    use = F.struct(F.col("role").alias("name"), F.when(F.col("turn") % 2 == 0, "call").otherwise("read").alias("kind"), F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
+    rows = c.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("turn", symbol.alias("s"), use.alias("u")))).alias("t"), F.sum("size").alias("size"))
+    return rows.select(
+        "file_id", "size", F.transform("t", lambda t: t["s"]).alias("symbols"), F.transform("t", lambda t: t["u"]).alias("references"),
+        none.cast(f"array<{syntax.IMPORT}>").alias("imports"), F.lit(True).alias("valid"), none.cast(f"array<{syntax.REFERENCE}>").alias("diagnostics"),
+    )
+
+
+@query(
+    """SELECT 'node file' AS what, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 'node declaration', count(*) FROM conversations
+UNION ALL SELECT 'node call', count(*) FILTER (turn % 2 = 0) FROM conversations UNION ALL SELECT 'node reference', count(*) FILTER (turn % 2 = 1) FROM conversations
+UNION ALL SELECT 'edge contains', 2 * count(*) FROM conversations UNION ALL SELECT 'edge declares', count(*) FROM conversations"""
+)
+def structure_graph_build(spark, sf_dir):
+    reports = _turn_reports(spark, sf_dir)
+    sources = reports.select(F.col("file_id").alias("id"), F.col("file_id").alias("path"), F.lit("r").alias("repository_id"), F.array(F.lit("p")).alias("project_ids"), F.lit("").alias("content"))
+    nodes, edges = syntax.structure_graph(sources, reports.drop("size"))
+    count = lambda df, what: df.groupBy(F.concat(F.lit(what), "kind").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return count(nodes.dropDuplicates(["id"]), "node ").unionByName(count(edges.dropDuplicates(["id"]), "edge "))
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn FROM conversations WHERE role = 'system'), r AS (SELECT conv_id, count(*) AS k FROM s GROUP BY conv_id)
+SELECT 'c' || c.conv_id AS file_id, count(*) AS declarations, max(r.k) AS "references" FROM conversations c JOIN r USING (conv_id)
+WHERE EXISTS (SELECT 1 FROM s WHERE s.conv_id = c.conv_id AND s.turn <= c.turn AND c.turn - s.turn <= 32) GROUP BY c.conv_id"""
+)
+def syntax_query(spark, sf_dir):
+    found = syntax.query(_turn_reports(spark, sf_dir), "system")
+    return found.select("file_id", F.size("symbols").cast("bigint").alias("declarations"), F.size("references").cast("bigint").alias("references"))
+
+
 # --- types ------------------------------------------------------------------------------------------
 
 
