@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import importable
+
 MIN_BYTES, MAX_BYTES, DEFAULT_BYTES = 64, 65536, 4096
 LOOKBACK = 512
 CONTEXT_BYTES = 8000
@@ -61,7 +63,7 @@ def split_files(files: DataFrame, most: int = DEFAULT_BYTES) -> DataFrame:
                 out += [(file_id, a, z, b[a:z].decode(), len(ranges) > 1) for a, z in ranges]
             yield pd.DataFrame(out, columns=["file_id", "start", "end", "text", "split"])
 
-    parts = files.select("id", "content").mapInPandas(run, "file_id string, start bigint, end bigint, text string, split boolean")
+    parts = importable(files).select("id", "content").mapInPandas(run, "file_id string, start bigint, end bigint, text string, split boolean")
     about = files.select(F.col("id").alias("file_id"), "repository_id", "project_ids", "language", "path")
     kind = F.when(F.col("split"), "fallback").otherwise("file_fallback")
     out = parts.join(about, "file_id").withColumn("kind", kind).withColumn("fallback", F.col("split"))

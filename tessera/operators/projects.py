@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import importable
+
 # --- membership -------------------------------------------------------------------------------------
 
 
@@ -305,5 +307,5 @@ def env_config_keys(files: DataFrame) -> DataFrame:
     def keys(texts):
         return texts.map(lambda t: [{"name": n, "line": k} for n, k in env_keys(t or "")])
 
-    rows = files.filter(config_kind(F.col("path")) == "env").select("id", F.explode(keys(F.col("content"))).alias("k"))
+    rows = importable(files).filter(config_kind(F.col("path")) == "env").select("id", F.explode(keys(F.col("content"))).alias("k"))
     return rows.select("id", F.col("k.name").alias("name"), F.col("k.line").alias("line"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import querylang as q
 from ..functions.folding import fold, fold_text
+from ..session import importable
 
 MAX_QUERY_BYTES, MAX_LIMIT, DEFAULT_LIMIT, MAX_PROJECTS = 8192, 1000, 100, 128
 MAX_RANGES = 1000
@@ -123,7 +124,7 @@ def with_ranges(files: DataFrame, text: str, case_sensitive: bool = False, mode:
             yield pd.DataFrame(out, columns=["id", "ranges", "ranges_truncated"])
 
     slim = files.select("id", "path", "content", "project_ids", "repository_id", "language", "test", "generated", "symbols")
-    found = slim.filter(q.predicate(tree, case_sensitive, mode)).mapInPandas(spans, "id string, ranges array<struct<start:bigint,end:bigint>>, ranges_truncated boolean")
+    found = importable(slim).filter(q.predicate(tree, case_sensitive, mode)).mapInPandas(spans, "id string, ranges array<struct<start:bigint,end:bigint>>, ranges_truncated boolean")
     return files.join(found, "id")
 
 

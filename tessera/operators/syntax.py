@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import importable
 from .chunking import CHUNK_KIND, DEFAULT_BYTES, cut_bytes, digest_id, normal_projects
 
 PARAMETER = "struct<name:string,type:string,start:bigint,end:bigint>"
@@ -87,7 +88,7 @@ def python_reports(files: DataFrame) -> DataFrame:
             rows = [{"file_id": i} | outline(c or "") for i, c in zip(df["id"], df["content"])]
             yield pd.DataFrame(rows, columns=["file_id", "valid", "symbols", "references", "imports", "diagnostics"])
 
-    return files.filter("language = 'python'").select("id", "content").mapInPandas(run, REPORT)
+    return importable(files).filter("language = 'python'").select("id", "content").mapInPandas(run, REPORT)
 
 
 def search_symbols(reports: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def syntax_chunks(files: DataFrame, reports: DataFrame, most: int = DEFAULT_BYTE
             yield out.astype({"parent": "Int32"})
 
     joined = files.select(F.col("id").alias("file_id"), "content").join(reports.select("file_id", "symbols"), "file_id")
-    return joined.mapInPandas(run, schema)
+    return importable(joined).mapInPandas(run, schema)
 
 
 def type_descriptors(files: DataFrame, reports: DataFrame) -> DataFrame:
