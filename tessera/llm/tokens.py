@@ -8,22 +8,26 @@ it is full, which costs time but never changes an id.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Words kept in a worker's table.
-TABLE_WORDS = 700_000
+TABLE_WORDS = 1_200_000
 #: Ids as bytes: little-endian, two bytes while they suffice.
 NARROW, WIDE = np.dtype("<u2"), np.dtype("<u4")
-#: White space runs, and white space other than a space or a line feed: such texts are encoded whole.
-_RUNS = re.compile(r"\s\s|[^\S \n]|\s\Z")
-#: Separators that only some libraries count as white space, letters whose lower case depends on the context,
-#: and what may be a special token.
-_ODD = re.compile("[\x1c-\x1f\u0085İΣ]|<\\|")
+#: White space besides space and line feed up to U+00FF, and beyond.
+_NARROW_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+_WIDE_SPACES = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Separators that only some libraries count as white space, letters whose lower case depends on the context, and what
+#: may be a special token.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "İ", "Σ", "<|")
 _POINTS = frozenset(".,;:!?")
 
 
@@ -33,6 +37,22 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _single_spaces(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters; other texts are encoded whole.
+    Substring tests, since an expression that looks at every character takes longer than the rest of the encoding."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n":
+        return False
+    if any(c in text for c in _NARROW_SPACES):
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _WIDE_SPACES.search(text)
+    return True
+
+
 def _byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,8 +103,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = NARROW if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else WIDE
-        import json
-
+        self.code = "H" if self.dtype == NARROW else "I"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = str(spec.get("normalizer")) + str(spec.get("pre_tokenizer"))
@@ -96,7 +115,7 @@ class Encoder:
         self.line = self.pack(self.tokenizer.encode("\n", add_special_tokens=False).ids) if self.byte_level else b""
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def spelt_space(self, before: str) -> str:
         return _LETTERS[32] if before else ""
@@ -113,7 +132,7 @@ class Encoder:
         """The ids of a text, packed; null counts as empty."""
         if not text:
             return b""
-        if self.byte_level and not _RUNS.search(text):
+        if self.byte_level and _single_spaces(text):
             out: list[bytes] = []
             bare, spaced = self.bare, self.spaced.__getitem__
             for k, line in enumerate(text.split("\n")):
@@ -123,7 +142,7 @@ class Encoder:
                 out.append(bare[words[0]])
                 out.extend(map(spaced, words[1:]))
             return b"".join(out)
-        if self.word_level and not _ODD.search(text) and unicodedata.is_normalized("NFC", text):
+        if self.word_level and not any(c in text for c in _ODD) and unicodedata.is_normalized("NFC", text):
             return b"".join(map(self.bare.__getitem__, text.lower().split()))
         return self.whole(text)
 
