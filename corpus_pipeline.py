@@ -1,4 +1,4 @@
-"""The corpus pipeline: five stages, each a whole pass over what its predecessor kept."""
+"""The corpus pipeline: six stages, each a whole pass over what its predecessor kept."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import compression, packing, positional, secretscan, simhash
+from tessera.llm import compression, nearcopies, packing, positional, secretscan, simhash
 from tessera.llm.common import prepare, read_table, shared_dir
 
 
@@ -22,6 +22,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicated(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose five-word shingles have a Jaccard likeness of 0.8 or more to those of one with a smaller id."""
+    prepare(spark)
+    return nearcopies.distinct(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item's window occurs go."""
     prepare(spark)
@@ -43,6 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity),
     ("near_dedup", near_dedup),
+    ("near_copies", near_copies),
     ("decontamination", decontamination),
     ("secrets", secrets),
     ("packing", pack),
