@@ -150,11 +150,11 @@ def literal_trigrams(literal: str) -> list[str]:
 
 
 def candidates(index: DataFrame, literal: str) -> DataFrame:
-    """Ids of files in which some block holds all trigrams of the literal: a superset of the files containing it."""
+    """Ids of files whose blocks together hold all trigrams of the literal: a superset of the files containing it."""
     grams = literal_trigrams(literal)
     if not grams:
         return index.select("id").distinct()
-    return index.filter(F.col("trigram").isin(grams)).groupBy("id", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams)).select("id").distinct()
+    return index.filter(F.col("trigram").isin(grams)).groupBy("id").agg(F.countDistinct("trigram").alias("n")).filter(F.col("n") == len(grams)).select("id").distinct()
 
 
 def required_literal(pattern: str) -> str:

@@ -209,7 +209,7 @@ def search_ranges(spark, sf_dir):
 SELECT id FROM d WHERE contains(t, 'TUP') AND contains(t, 'UPI') AND contains(t, 'PID') AND contains(t, 'STU')"""
 )
 def trigram_candidates(spark, sf_dir):
-    return search.candidates(search.trigram_index(files(spark, sf_dir), 1 << 20), "stupid")
+    return search.candidates(search.trigram_index(files(spark, sf_dir)), "stupid")
 
 
 @query(

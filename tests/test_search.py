@@ -91,6 +91,15 @@ def test_trigram_candidates_hold_every_match(spark):
     assert {r["trigram"] for r in index.filter("id = 'a'").collect()} >= {fold_text("nee"), fold_text("edl"), fold_text("dle")}
 
 
+def test_trigram_candidates_across_a_block_edge(spark):
+    body = "x" * (search.BLOCK_CHARS - 3) + "stupid" + "y" * 9
+    rows = [("edge", body), ("none", "x" * (search.BLOCK_CHARS + 9)), *[(f"at{k}", "z" * k + "stupid") for k in range(9)]]
+    f = spark.createDataFrame(rows, "id string, content string")
+    assert {r["id"] for r in search.candidates(search.trigram_index(f.filter("id IN ('edge', 'none')")), "stupid").collect()} == {"edge"}
+    small = search.candidates(search.trigram_index(f.filter("id LIKE 'at%'"), 4), "STUPID")
+    assert {r["id"] for r in small.collect()} == {f"at{k}" for k in range(9)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abcABC ſKkσς", min_size=3, max_size=12))
 def test_literal_trigrams_are_in_the_text(s):
