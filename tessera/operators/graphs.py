@@ -68,16 +68,25 @@ def callees(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
     return sites.join(calls, "site_id")
 
 
-def neighbours(edges: DataFrame, start: str, depth: int = DEFAULT_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
-    """(id, depth) reached from start over edges in either direction, nearest max_nodes; depth as given, at most 12.
+def neighbours(edges: DataFrame, start: str, depth: int = DEFAULT_DEPTH, max_nodes: int | None = MAX_NODES) -> DataFrame:
+    """(id, depth) reached from start over edges in either direction, nearest max_nodes (None: all); depth as given, at most 12.
 
-    Level by level: a level joins the edges with the frontier, and what was seen is removed by an anti-join. The frontier
-    can't outgrow the node budget, so its size is bounded and each level is a broadcast join.
+    Level by level: a level joins the edges with the frontier, and what was seen is removed by an anti-join. Under a node
+    budget the frontier can't outgrow it, so each level is a broadcast join; without one, levels are shuffle joins and
+    nothing comes to the driver.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError("depth out of bounds")
     spark = edges.sparkSession
     seen = frontier = spark.createDataFrame([(start, 0)], "id string, depth int")
+    if max_nodes is None:
+        links = edges.select(F.col("source_id").alias("from"), F.col("target_id").alias("to"))
+        links = links.unionByName(links.select(F.col("to").alias("from"), F.col("from").alias("to")))
+        for level in range(1, depth + 1):
+            found = frontier.join(links, F.col("id") == F.col("from")).select(F.col("to").alias("id")).distinct()
+            frontier = found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(level))
+            seen = seen.unionByName(frontier)
+        return seen
     total = 1
     for level in range(1, depth + 1):
         ids = F.broadcast(frontier.select(F.col("id").alias("from")))
@@ -94,6 +103,20 @@ def neighbours(edges: DataFrame, start: str, depth: int = DEFAULT_DEPTH, max_nod
     return seen
 
 
+def notices(result: DataFrame, whole: DataFrame, edges: DataFrame | None = None) -> list[str]:
+    """Notices of a capped mode's result: NODE_BUDGET if whole, the same mode with a larger limit, has more rows;
+    CANDIDATE_TARGET if an edge among edges, those returned, has a candidate target."""
+    out = ["NODE_BUDGET"] if whole.limit((n := result.count()) + 1).count() > n else []
+    if edges is not None and not edges.filter("resolution = 'candidate'").isEmpty():
+        out.append("CANDIDATE_TARGET")
+    return out
+
+
+def status(notes: list[str], partial: bool = False, supported: bool = True) -> str:
+    """complete, partial (a budget was reached, or partial: a shard is missing or incomplete) or unsupported."""
+    return "unsupported" if not supported else "partial" if partial or "NODE_BUDGET" in notes else "complete"
+
+
 def paths(edges: DataFrame, start: str, goal: str, depth: int = DEFAULT_DEPTH, limit: int = MAX_PATHS) -> DataFrame:
     """Simple directed paths from start to goal, by length and then node ids: path (ids joined by >), length. A path ends
     where it meets the goal."""

@@ -435,7 +435,7 @@ SELECT id, min(depth) AS depth FROM h GROUP BY id"""
 )
 def graph_neighbors(spark, sf_dir):
     _, edges = graph(spark, sf_dir)
-    return graphs.neighbours(edges.filter("kind = 'contains'"), "r:0", 2, 100_000)
+    return graphs.neighbours(edges.filter("kind = 'contains'"), "r:0", 2, None)
 
 
 @query(

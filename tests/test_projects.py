@@ -155,6 +155,21 @@ def graph(spark):
     return nodes, spark.createDataFrame([(*r, ["p"]) for r in rows], tables.EDGE)
 
 
+def test_unbounded_neighbours_and_notices(spark):
+    star = [(str(k), "contains", "r", f"n{k}", "exact", ["p"]) for k in range(50)] + [(f"x{k}", "contains", f"n{k % 50}", f"m{k}", "exact", ["p"]) for k in range(2500)]
+    edges = spark.createDataFrame(star, tables.EDGE)
+    every = graphs.neighbours(edges, "r", 2, None)
+    assert {(r["id"], r["depth"]) for r in every.collect()} == {("r", 0)} | {(f"n{k}", 1) for k in range(50)} | {(f"m{k}", 2) for k in range(2500)}
+    cut = graphs.neighbours(edges, "r", 2)
+    assert cut.count() == graphs.MAX_NODES and graphs.notices(cut, every) == ["NODE_BUDGET"]
+    assert graphs.notices(every, every) == []
+    nodes, links = graph(spark)
+    hit = graphs.incoming(nodes, links, "c")
+    assert graphs.notices(hit, graphs.incoming(nodes, links, "c", limit=graphs.MAX_EDGES + 1), hit) == ["CANDIDATE_TARGET"]
+    assert graphs.status(["NODE_BUDGET"]) == "partial" and graphs.status(["CANDIDATE_TARGET"]) == "complete" and graphs.status([], supported=False) == "unsupported"
+    assert {(r["id"], r["depth"]) for r in graphs.neighbours(links, "a", 2, None).collect()} == {("a", 0), ("s", 1), ("b", 1), ("c", 2)}
+
+
 def test_graph(spark):
     nodes, edges = graph(spark)
     assert [r["callee_id"] for r in graphs.callees(nodes, edges, "a").collect()] == ["b"]
