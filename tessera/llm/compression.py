@@ -5,7 +5,9 @@ training text is what sets toxic text apart: the words whose document frequency
 a log-likelihood ratio test. A text is cut into windows; each is compressed against the ordinary dictionary
 and against the ordinary dictionary preceded by the toxic one, so text that both know costs the same and
 the difference in compressed length is what the toxic dictionary alone explains. The differences are
-compared with thresholds, and a logistic curve fitted on other labelled rows turns the counts into a score.
+compared with thresholds. Marks whose every letter run the ordinary dictionary knows as well leave no difference, which
+hides toxic words of the rarer languages, so the marks a text holds are also weighed by their log odds. A logistic curve
+fitted on other labelled rows turns the counts and weights into a score.
 
 Scale: fitting uses a bounded sample (labelled.MAX_ROWS, MAX_TEXT); scoring is one pass over the whole
 texts without a shuffle, its model (two dictionaries, at most 0.5 MB) goes along with the tasks.
@@ -34,6 +36,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 400_000, 32_768
 #: The least log-likelihood ratio at which a word sets toxic text apart.
 LEAST_RATIO = 16.0
 THRESHOLDS = (2, 3, 4, 6)
+#: A mark is weighed if so many toxic texts hold it and its log odds exceed LEAST_ODDS.
+LEAST_TEXTS, LEAST_ODDS = 4, 2.0
 #: A-Z becomes a-z; what is neither a letter nor beyond ASCII becomes a space.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -81,6 +85,24 @@ def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return kept
 
 
+def _weights(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, float]:
+    """The log odds of the marks that are weighed."""
+    t, n = Counter(), Counter()
+    for b in toxic:
+        t.update(_marks(b))
+    for b in ordinary:
+        n.update(_marks(b))
+    odds = {w: math.log((k + 0.5) / (len(toxic) + 1)) - math.log((n[w] + 0.5) / (len(ordinary) + 1)) for w, k in t.items() if k >= LEAST_TEXTS}
+    return {w: v for w, v in odds.items() if v > LEAST_ODDS}
+
+
+def _evidence(b: bytes, weights: dict[bytes, float]) -> list[float]:
+    """The weighed marks of a text: their sum, their sum and number against all marks, the largest."""
+    marks = _marks(b)
+    found = sorted(weights[w] for w in marks if w in weights)
+    return [math.log1p(sum(found)), sum(found) / math.sqrt(1 + len(marks)), len(found) / (1 + len(marks)), found[-1] if found else 0.0]
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary, filled up to size with samples as they are."""
     total = sum(map(len, samples))
@@ -122,13 +144,15 @@ def _opened(ordinary: bytes, toxic: bytes):
     return _compressors({"ordinary": ordinary, "toxic": toxic})
 
 
-def measure(text: str | None, plain, marked) -> np.ndarray:
-    """Features of a text: shares of windows whose difference reaches each threshold, their mean, the largest ones."""
-    d = np.array([len(plain(w)) - len(marked(w)) for w in cut(normal(text))], float)
+def measure(text: str | None, plain, marked, weights: dict[bytes, float]) -> np.ndarray:
+    """Features of a text: shares of windows whose difference reaches each threshold, their mean, the largest ones, and
+    the weighed marks."""
+    b = normal(text)
+    d = np.array([len(plain(w)) - len(marked(w)) for w in cut(b)], float)
     n, top = len(d), np.sort(d)[::-1]
     shares = [float((d >= t).mean()) for t in THRESHOLDS]
     counts = [math.log1p(float((d >= t).sum())) for t in THRESHOLDS[1:]]
-    return np.array([*shares, *counts, float(np.clip(d, 0, 12).mean()), min(float(top[0]), 16.0), min(float(top[: max(3, n // 8)].mean()), 16.0), math.log(n)])
+    return np.array([*shares, *counts, float(np.clip(d, 0, 12).mean()), min(float(top[0]), 16.0), min(float(top[: max(3, n // 8)].mean()), 16.0), math.log(n), *_evidence(b, weights)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
@@ -161,7 +185,7 @@ def fit(sample: list[tuple[str, int]], share: float | None = None) -> dict:
     tune = [x for k, x in enumerate(texts) if k % 3 == 0]
     toxic, ordinary = [b for b, _, y in build if y == 1], [b for b, _, y in build if y == 0]
     if not toxic or not ordinary or len({y for *_, y in tune}) < 2:
-        return {"ordinary": b"", "toxic": b"", "weights": None}
+        return {"ordinary": b"", "toxic": b"", "odds": {}, "weights": None}
     words = _distinctive(toxic, ordinary)
     listed = b"".join(reversed(words)) + b" "
     runs = [found for b in toxic for found in _runs(b" " + b + b" ", words)]
@@ -169,9 +193,10 @@ def fit(sample: list[tuple[str, int]], share: float | None = None) -> dict:
     model = {
         "ordinary": _dictionary(_training_windows(ordinary, 8_000_000), ORDINARY_BYTES),
         "toxic": (trained + listed)[-TOXIC_BYTES:] if words else b"",
+        "odds": _weights(toxic, ordinary),
     }
     plain, marked = _compressors(model)
-    x = np.array([measure(t, plain, marked) for _, t, _ in tune])
+    x = np.array([measure(t, plain, marked, model["odds"]) for _, t, _ in tune])
     mean, sd = x.mean(0), x.std(0) + 1e-6
     y = np.array([y for *_, y in tune], float)
     w = logistic((x - mean) / sd, y)
@@ -183,7 +208,7 @@ def fit(sample: list[tuple[str, int]], share: float | None = None) -> dict:
 def score(text: str | None, model: dict) -> float:
     if model["weights"] is None:
         return 0.0
-    x = (measure(text, *_opened(model["ordinary"], model["toxic"])) - model["mean"]) / model["sd"]
+    x = (measure(text, *_opened(model["ordinary"], model["toxic"]), model["odds"]) - model["mean"]) / model["sd"]
     return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ model["weights"][:-1] + model["weights"][-1]))))))
 
 
