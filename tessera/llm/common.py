@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper and lower case ASCII, for lower-casing A-Z only.
@@ -18,12 +18,15 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset and executors are threads of this
+    very process (master local, as in tests) a folder of our own; elsewhere it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -56,3 +59,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_bucket(column, divisor: int):
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
+
+
+def row_keys() -> list[Column]:
+    """k1, k2: 128 bits that tell rows apart by doc_id and text. Only rows that repeat both share them, so a repeated or
+    null doc_id is no hot key."""
+    parts = [F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"]
+    return [F.xxhash64(F.lit(1), *parts).alias("k1"), F.xxhash64(F.lit(2), *reversed(parts)).alias("k2")]
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs without the rows whose keys (k1, k2) are in lost; whatever the columns of docs are called."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), *row_keys())
+    return packed.join(lost.select("k1", "k2"), ["k1", "k2"], "left_anti").select("r.*")
