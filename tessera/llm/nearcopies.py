@@ -1,13 +1,17 @@
-"""Near copies by exact Jaccard likeness of five-word shingles, for the pipeline.
-
-Candidates come from MinHash: HASHES minima of a text's shingle digests in BANDS bands; texts that agree on a whole
-band share a bucket. A pair of likeness 0.8 shares none with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-6. (A radius
-on SimHash fingerprints gives no such bound: the distance of short copies scatters too widely.) Every pair acted on is
-verified by the likeness itself.
-
-Scale: buckets of one text go at once. A bucket's pairs are not all made: in a round its first texts (one, then two,
-four, ...) meet the others, what is found to be a copy leaves all buckets, and the first texts, now compared, leave
-this one. A group of n copies so costs n pairs a bucket. Texts of a first text with many pairs are dealt into slots.
+"""The near-duplicate stage of the pipeline: SimHash groups, then near copies of five-word Jaccard 0.8 or more.
+
+SimHash over five-word shingles, linked through BK-trees, collapses copies that hardly differ. A radius on SimHash
+fingerprints bounds no Jaccard likeness, though: at a likeness of 0.8 two 64-bit fingerprints differ in about ten bits,
+and no exact search by bands or trees prunes at such a radius. So what is left is compared by the likeness itself, on
+candidates from MinHash: HASHES minima of a text's shingle digests in BANDS bands; texts that agree on a whole band
+share a bucket. A pair of likeness 0.8 shares none with probability (1 - 0.8 ** ROWS) ** BANDS = 2e-5. Every pair acted
+on is verified.
+
+Scale: fingerprint and bands come from one pass over the texts; decisions move row keys only. Buckets of one text go at
+once. A bucket's pairs are not all made: in a round its first texts (one, then two, four, ...) meet the others, what is
+found to be a copy leaves all buckets, and the first texts, now compared, leave this one. A group of n copies so costs n
+pairs a bucket. Texts of a first text with many pairs are dealt into slots. Counts and first texts of a bucket are found
+in two levels, so a bucket with many texts is not one task's. Texts are compared whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -21,34 +25,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, saved
+from . import simhash
+from .common import LOWER, row_keys, saved, without
 
 SHINGLE = 5
 LEAST = 0.8
-ROWS, BANDS = 6, 40
+ROWS, BANDS = 5, 28
 HASHES = ROWS * BANDS
 #: Pairs that one copy of a first text is shipped for, at most.
 SLOT = 256
+#: Parts in which the first texts of a bucket are looked for.
+PARTS = 64
 SEED = 42
 _RNG = np.random.default_rng(SEED)
-_A = _RNG.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, HASHES, np.uint64)
+_A = _RNG.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, HASHES, np.uint32)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct digests of the word shingles; a shorter text is one shingle, a blank one has none."""
+    """Digests of the word shingles in order; a shorter text is one shingle, a blank one has none."""
     words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))], np.uint64))
+    return np.array([digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))], np.uint64)
 
 
 def bands(found: np.ndarray) -> list[int]:
-    """One digest for each band of the MinHash signature."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 2048):  # 4 MB at a time
-        low = np.minimum(low, (found[None, at : at + 2048] * _A[:, None] + _B[:, None]).min(axis=1))
+    """One digest for each band of the MinHash signature of distinct shingles."""
+    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 2048):  # 1 MB at a time
+        low = np.minimum(low, (short[None, at : at + 2048] * _A[:, None] + _B[:, None]).min(axis=1))
     return [xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(low.reshape(BANDS, ROWS))]
 
 
@@ -57,61 +65,78 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, k1, k2, text) → (doc_id, k1, k2, fp, n: distinct shingles, bands)."""
     for b in batches:
-        ids, hashes, texts = (b.column(i) for i in range(3))
-        found = [shingles(t.as_py()) for t in texts]
-        rows = np.array([i for i, s in enumerate(found) if len(s)], np.int64)
-        if len(rows):
-            at = pa.array(np.repeat(rows, BANDS))
-            keys = np.array([k for i in rows for k in bands(found[i])], np.uint64).view(np.int64)
-            sizes = pa.array(np.repeat(np.array([len(found[i]) for i in rows], np.int32), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), ids.take(at), hashes.take(at), sizes], names=["key", "id", "h", "n"])
+        prints, sizes, keys = [], [], []
+        for t in b.column(3):
+            found = shingles(t.as_py())
+            prints.append(simhash.majority(found))
+            distinct = np.unique(found)
+            sizes.append(len(distinct))
+            keys.append(np.array(bands(distinct), np.uint64).view(np.int64) if len(distinct) else [])
+        cols = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["doc_id", "k1", "k2", "fp", "n", "bands"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        first, other, ids, hashes = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)
+        first, other, k1, k2 = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)
         known: dict[str, np.ndarray] = {}
         keep = []
         for x, y in zip(first, other):
             if x not in known:
-                known = {x: shingles(x)} if len(known) > 64 else known | {x: shingles(x)}
-            keep.append(likeness(known[x], shingles(y)) >= LEAST)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (ids, hashes)], names=["id", "h"])
-
-
-def distinct(docs: DataFrame) -> DataFrame:
-    """docs without near copies, whose texts differ (as simhash.deduplicated leaves them): a row goes if its likeness to
-    a row with a smaller doc_id (null ids last) is LEAST or more, so no two such rows are left and each that goes has a
-    chain of near copies to one that stays. Texts without words stay."""
-    keyed = lambda df: df.withColumns({"__id": F.col("doc_id"), "__h": F.xxhash64("text")})
-    slim = keyed(docs.select("doc_id", "text")).select(F.col("__id").alias("id"), F.col("__h").alias("h"), "text")
-    kind = slim.schema["id"].dataType.simpleString()
-    every = slim.filter("text IS NOT NULL").mapInArrow(_banded, f"key long, id {kind}, h long, n int")
-    now = saved(every.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1").drop("c"))
-    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
-    texts = saved(slim.alias("t").join(now.select("id", "h").distinct().alias("c"), same("t", "c"), "left_semi"))
+                known = ({} if len(known) > 64 else known) | {x: np.unique(shingles(x))}
+            keep.append(likeness(known[x], np.unique(shingles(y))) >= LEAST)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (k1, k2)], names=["k1", "k2"])
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose bucket holds another one, written."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    return saved(rows.join(counts, "key", "left_semi"))
+
+
+def near_rows(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(k1, k2) of rows that go: their likeness to a row before them is LEAST or more, by doc_id (null ids last), k1, k2.
+    rows: doc_id, k1, k2, n, bands, without repeats of a row. No two such rows are left, and each that goes has a chain of
+    near copies to one that stays. Texts without words are in no bucket and stay. None if there are none."""
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), "k1", "k2")
+    now = _shared(rows.select(F.explode("bands").alias("key"), "k1", "k2", order.alias("o"), "n"))
+    texts = docs.select(*row_keys(), "text").join(now.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    texts = saved(texts.select(F.struct("k1", "k2").alias("k"), "text"))
     lost, most = None, 1
     while not now.isEmpty():
-        order = Window.partitionBy("key").orderBy(F.col("id").isNull(), "id", "h")
-        placed = saved(now.withColumn("place", F.row_number().over(order)))
-        first = placed.filter(F.col("place") <= most).select("key", F.struct("id", "h").alias("a"), F.col("n").alias("m"), F.col("place").alias("p"))
-        met = placed.join(first, "key").filter((F.col("p") < F.col("place")) & (F.least("n", "m") >= LEAST * F.greatest("n", "m")))
-        pairs = saved(met.select("a", F.struct("id", "h").alias("b")).distinct())
+        part = Window.partitionBy("key", F.pmod("k1", F.lit(PARTS))).orderBy("o")
+        heads = now.withColumn("p", F.row_number().over(part)).filter(F.col("p") <= most)
+        heads = heads.withColumn("p", F.row_number().over(Window.partitionBy("key").orderBy("o"))).filter(F.col("p") <= most)
+        heads = saved(heads.select("key", F.struct("k1", "k2").alias("a"), F.col("o").alias("ao"), F.col("n").alias("m")))
+        met = now.join(heads, "key").filter((F.col("ao") < F.col("o")) & (F.least("n", "m") >= LEAST * F.greatest("n", "m")))
+        pairs = saved(met.select("a", F.struct("k1", "k2").alias("b")).distinct())
         slots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLOT).cast("int").alias("slots"))
-        dealt = slots.join(texts.select(F.struct("id", "h").alias("a"), F.col("text").alias("x")), "a")
+        dealt = slots.join(texts.select(F.col("k").alias("a"), F.col("text").alias("x")), "a")
         dealt = dealt.select("a", "x", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
         others = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int")).drop("slots")
-        others = others.join(texts.select(F.struct("id", "h").alias("b"), F.col("text").alias("y")), "b")
-        ready = others.join(dealt, ["a", "slot"]).select("x", "y", "b.id", "b.h")
-        gone = saved(ready.mapInArrow(_alike, f"id {kind}, h long").distinct())
+        others = others.join(texts.select(F.col("k").alias("b"), F.col("text").alias("y")), "b")
+        ready = others.join(dealt, ["a", "slot"]).select("x", "y", "b.k1", "b.k2")
+        gone = saved(ready.mapInArrow(_alike, "k1 long, k2 long").distinct())
         lost = gone if lost is None else lost.unionByName(gone)
-        rest = placed.filter(F.col("place") > most).drop("place").alias("r").join(gone.alias("g"), same("r", "g"), "left_anti")
-        now = saved(rest.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1").drop("c"))
+        now = _shared(now.join(heads.select("key", "a.k1", "a.k2"), ["key", "k1", "k2"], "left_anti").join(gone, ["k1", "k2"], "left_anti"))
         most *= 2
-    if lost is None:
-        return docs
-    gone = lost.distinct().alias("g")
-    rows = keyed(docs).alias("d")
-    return rows.join(gone, F.col("d.__id").eqNullSafe(F.col("g.id")) & (F.col("d.__h") == F.col("g.h")), "left_anti").select(*docs.columns)
+    return lost
+
+
+def deduplicated(docs: DataFrame, radius: int = simhash.RADIUS, tree_nodes: int = simhash.TREE_NODES) -> DataFrame:
+    """docs without all but the first row of each SimHash group (five-word shingles), and without near copies of a row
+    before them among what is left. First is the smallest doc_id; null ids come last, then by a hash.
+
+    Of null and blank texts one stays; rows that repeat go but for one; an empty table gives no rows; columns may have
+    any names and pass through."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = docs.select("doc_id", *row_keys(), "text").mapInArrow(_marked, f"doc_id {kind}, k1 long, k2 long, fp long, n int, bands array<long>")
+    marks = saved(marked)
+    alike = saved(simhash.lost_rows(marks, radius, tree_nodes))
+    left = marks.filter("n > 0").join(alike, ["k1", "k2"], "left_anti").dropDuplicates(["k1", "k2"])
+    near = near_rows(docs, left)
+    lost = alike if near is None else alike.unionByName(near).distinct()
+    return without(simhash.first_of_repeats(docs, marks), lost)

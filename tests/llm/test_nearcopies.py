@@ -1,9 +1,13 @@
-"""The pipeline's near-copy stage against brute-force Jaccard."""
+"""The pipeline's near-duplicate stage against brute force: SimHash groups, then five-word Jaccard."""
 
 from collections import defaultdict
 
 import corpus_pipeline
-from tessera.llm import nearcopies
+import numpy as np
+import pytest
+
+from tessera.llm import nearcopies, simhash
+from tests.llm.test_bruteforce import brute_classes, brute_print
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,25 +29,55 @@ def brute_pairs(texts):
     return out
 
 
-def test_no_near_copy_passes_the_stages(prepared):
-    docs = prepared.read.parquet(f"{SF}/documents.parquet")
-    stages = dict(corpus_pipeline.STAGES)
-    before = stages["near_dedup"](prepared, docs, SF).cache()
-    texts = {r["doc_id"]: r["text"] for r in before.collect()}
-    pairs = brute_pairs(texts)
-    assert pairs  # near_dedup alone leaves some
-    out = stages["near_copies"](prepared, before, SF)
-    kept = {r["doc_id"] for r in out.collect()}
-    assert out.columns == docs.columns and kept <= set(texts)
+def check(texts, kept, known=lambda i: i):
+    """No near copies are left, and what went is of a SimHash group with, or a near copy of, one with a smaller id."""
+    groups = brute_classes({i: brute_print(t, nearcopies.SHINGLE) for i, t in texts.items()}, simhash.RADIUS)
+    left = {i: t for i, t in texts.items() if groups[i] == i}
+    pairs = brute_pairs(left)
+    assert kept <= set(left)
     assert not [p for p in pairs if p[0] in kept and p[1] in kept]
-    assert set(texts) - kept <= {b for _, b in pairs}  # what goes has a near copy with a smaller id
+    assert set(left) - kept <= {b for _, b in pairs}
+    return pairs
+
+
+def test_stage(prepared):
+    docs = prepared.read.parquet(f"{SF}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](prepared, docs, SF)
+    assert out.columns == docs.columns
+    kept = [r["doc_id"] for r in out.collect()]
+    assert len(kept) == len(set(kept))
+    assert check({r["doc_id"]: r["text"] for r in docs.collect()}, set(kept))  # SimHash alone leaves some
 
 
 def test_groups_short_and_odd_texts(prepared):
     words = [f"w{k}" for k in range(64)]
     edit = lambda k: " ".join([*words[:k], "other", *words[k + 1 :]])
-    rows = [(5, " ".join(words)), *[(10 + k, edit(k)) for k in (0, 1, 2, 62, 63)], (30, edit(30)), (None, edit(61)), (40, "a b"), (41, "A  b"), (42, ""), (43, None), (44, " \n")]
-    kept = nearcopies.distinct(prepared.createDataFrame(rows, "doc_id long, text string"))
-    want = brute_pairs({99 if i is None else i: t for i, t in rows})
-    assert {99 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()} == {99 if i is None else i for i, _ in rows} - {b for _, b in want}
-    assert nearcopies.distinct(kept.limit(0)).count() == 0
+    rows = [(5, " ".join(words)), *[(10 + k, edit(k)) for k in (0, 1, 2, 62, 63)], (30, edit(30)), (None, edit(61)), (40, "a b"), (41, "A  b"), (42, ""), (43, None), (44, " \n"), (45, "a b"), (45, "a b")]
+    got = [99 if r["doc_id"] is None else r["doc_id"] for r in nearcopies.deduplicated(prepared.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got))
+    assert check({99 if i is None else i: t for i, t in rows}, set(got))
+    assert {40, 42} <= set(got) and not {41, 43, 44, 45} & set(got)
+
+
+def test_large_bucket(prepared):
+    """Many texts of one bucket that are no near copies of each other, and a chain of near copies."""
+    rng = np.random.default_rng(2)
+    base = [f"v{k}" for k in range(200)]
+    rows = [(k, " ".join(w if rng.random() > 0.02 else f"x{k}{j}" for j, w in enumerate(base))) for k in range(60)]
+    got = {r["doc_id"] for r in nearcopies.deduplicated(prepared.createDataFrame(rows, "doc_id long, text string")).collect()}
+    check(dict(rows), got)
+
+
+def test_odd_and_empty(odd, empty):
+    out = nearcopies.deduplicated(odd)
+    assert out.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "2", "4", "4", "6", "None"]
+    assert nearcopies.deduplicated(empty).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 4, 100])
+def test_majority(size):
+    rng = np.random.default_rng(size)
+    h = rng.integers(0, 1 << 63, size, np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > size)
+    assert simhash.majority(h) == want

@@ -1,8 +1,9 @@
 """The pipeline's stages against brute force, each on what its predecessor kept."""
 
 import corpus_pipeline
-from tessera.llm import positional, secretscan, simhash
-from tests.llm.test_bruteforce import brute_classes, brute_contamination, brute_print
+from tessera.llm import positional, secretscan
+from tests.llm.test_bruteforce import brute_contamination
+from tests.llm.test_nearcopies import check
 
 SF = "/root/testdata/sf0.01"
 
@@ -17,7 +18,7 @@ def test_stages(prepared):
         assert docs.columns == columns
         kept[name] = before, {r["doc_id"]: r["text"] for r in docs.collect()}
     before, after = kept["near_dedup"]
-    assert set(after) == set(brute_classes({i: brute_print(t) for i, t in before.items()}, simhash.RADIUS).values())
+    check(before, set(after))
     before, after = kept["decontamination"]
     items = [tuple(r) for r in prepared.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     assert set(after) == {i for i, _, hit, *_ in brute_contamination(before.items(), items) if not hit}
