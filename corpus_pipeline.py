@@ -1,4 +1,4 @@
-"""The corpus pipeline: six stages, each a whole pass over what its predecessor kept."""
+"""The corpus pipeline: five stages, each a whole pass over what its predecessor kept."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import compression, nearcopies, packing, positional, secretscan, simhash
+from tessera.llm import compression, nearcopies, packing, positional, secretscan
 from tessera.llm.common import prepare, read_table, shared_dir
 
 
@@ -17,15 +17,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their SimHash fingerprints the one with the smallest id stays."""
+    """Of each group of documents linked by their SimHash fingerprints over five-word shingles the one with the smallest
+    id stays, and of those left a document goes that is a near copy (five-word Jaccard of 0.8 or more) of one before it."""
     prepare(spark)
-    return simhash.deduplicated(docs)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose five-word shingles have a Jaccard likeness of 0.8 or more to those of one with a smaller id."""
-    prepare(spark)
-    return nearcopies.distinct(docs)
+    return nearcopies.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +44,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity),
     ("near_dedup", near_dedup),
-    ("near_copies", near_copies),
     ("decontamination", decontamination),
     ("secrets", secrets),
     ("packing", pack),
