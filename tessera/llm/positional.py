@@ -5,23 +5,30 @@ and per term the ascending word positions at which it stands (the posting list);
 other with a gap, so no phrase crosses from one into the next. Nothing in building the index needs a
 shuffle, its size follows the text, and it is written once to the shared folder.
 
-A search takes one index block at a time: the posting lists of a phrase's terms, each shifted by the
-term's offset in the phrase, are intersected from the rarest in the block onwards, and most phrases end
-at the first term that the block lacks. Phrases reach the blocks in chunks of at most CHUNK_PHRASES,
-so what is sent to the executors at once is bounded whatever the size of the benchmark; each chunk is
-one pass over the (small) index, not over the text.
+A search takes one index block at a time. Phrases are listed under one of their terms, the one that the
+fewest phrases hold, so a block looks only at phrases whose listed term it holds; the posting lists of a
+phrase's terms, each shifted by the term's offset in the phrase, are intersected from the rarest in the
+block onwards. Phrases reach the blocks in chunks of at most CHUNK_PHRASES, an item's phrases in several
+chunks where need be, so what is sent to the executors at once is bounded whatever the size of the
+benchmark or of one item; each chunk is one pass over the (small) index, not over the text. A row of the
+index is known by its block and its place there, so results of several chunks are put together per row;
+with one chunk they are put together already, and that step would change nothing.
+
+Texts and items are read whole, however long: a text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import row_keys, saved, without
 
 WINDOW = 10
 #: Words of one index block; a longer document is a block of its own.
@@ -32,7 +39,6 @@ CHUNK_PHRASES = 200_000
 WORD_BYTES = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
-INDEX_SCHEMA = "block string, terms binary, counts binary, positions binary, starts binary, rows array<long>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -45,7 +51,7 @@ def windows(text: str | None, size: int = WINDOW) -> set[tuple[bytes, ...]]:
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def _block(name: str, held: list[tuple[int | None, list[bytes]]], gap: int) -> dict:
+def _block(name: str, held: list[tuple[object, list[bytes]]], gap: int) -> dict:
     flat = [w for _, ws in held for w in ws]
     lens = np.array([len(ws) for _, ws in held], np.int64)
     starts = np.concatenate(([0], np.cumsum(lens + gap)))
@@ -66,9 +72,10 @@ def _block(name: str, held: list[tuple[int | None, list[bytes]]], gap: int) -> d
 def _index(batches: Iterator[pa.RecordBatch], gap: int, block_words: int) -> Iterator[pa.RecordBatch]:
     import uuid
 
-    schema = pa.schema([("block", pa.string()), *((c, pa.binary()) for c in ("terms", "counts", "positions", "starts")), ("rows", pa.list_(pa.int64()))])
-    name, serial, held, size = uuid.uuid4().hex, 0, [], 0
+    name, serial, held, size, schema = uuid.uuid4().hex, 0, [], 0, None
     for b in batches:
+        binary = ((c, pa.binary()) for c in ("terms", "counts", "positions", "starts"))
+        schema = pa.schema([("block", pa.string()), *binary, ("rows", pa.list_(b.schema.field(0).type))])
         for row, text in zip(b.column(0).to_pylist(), b.column(1)):
             w = words(text.as_py())
             if held and size + len(w) > block_words:
@@ -80,10 +87,12 @@ def _index(batches: Iterator[pa.RecordBatch], gap: int, block_words: int) -> Ite
         yield pa.RecordBatch.from_pylist([_block(f"{name}-{serial}", held, gap)], schema=schema)
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The positional index of docs.text, one row per block; key is a long column that names the rows."""
-    slim = docs.select(F.col(key).cast("long"), "text")
-    return saved(slim.mapInArrow(lambda it: _index(it, window, block_words), INDEX_SCHEMA))
+def build_index(docs: DataFrame, key: str | Column = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The positional index of docs.text, one row per block; key, of any type, comes back with a row's matches."""
+    slim = docs.select((F.col(key) if isinstance(key, str) else key).alias("key"), "text")
+    kind = slim.schema["key"].dataType.simpleString()
+    schema = f"block string, terms binary, counts binary, positions binary, starts binary, rows array<{kind}>"
+    return saved(slim.mapInArrow(lambda it: _index(it, window, block_words), schema))
 
 
 class Postings:
@@ -138,20 +147,35 @@ class Postings:
         return found[ok]
 
 
-def _find(batches: Iterator[pa.RecordBatch], phrases, gap: int, span: int | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """phrases: [(terms, [item, ...])]. One row per document with hits: spans (start, end) merged, items."""
+def _listed(phrases: list[tuple[tuple[bytes, ...], list[str]]]) -> dict[bytes, list[int]]:
+    """The numbers of the phrases under the term of each that the fewest phrases hold."""
+    held = Counter(t for terms, _ in phrases for t in set(terms))
+    out: dict[bytes, list[int]] = {}
+    for k, (terms, _) in enumerate(phrases):
+        out.setdefault(min(terms, key=held.__getitem__), []).append(k)
+    return out
+
+
+def _find(batches: Iterator[pa.RecordBatch], sent, gap: int, span: int | None) -> Iterator[pa.RecordBatch]:
+    """sent: phrases [(terms, [item, ...])] and the list of them by term. One row per indexed row: its block and place
+    there, its key, its words, the spans (start, end) of hits, merged, and the items."""
+    phrases, listed = sent
     for b in batches:
+        schema = pa.schema([("block", pa.string()), ("place", pa.int32()), ("key", b.schema.field("rows").type.value_type), *FOUND])
         for row in b.to_pylist():
             block = Postings(row)
             begins, ends, owner = [], [], []
-            for k, (terms, _) in enumerate(phrases):
-                at = block.phrase(terms) if span is None else block.near(terms, span)
-                if len(at):
-                    begins.append(at)
-                    ends.append(at + (len(terms) if span is None else 1))
-                    owner.append(np.full(len(at), k))
+            for term in listed.keys() & block.number.keys():
+                for k in listed[term]:
+                    terms = phrases[k][0]
+                    at = block.phrase(terms) if span is None else block.near(terms, span)
+                    if len(at):
+                        begins.append(at)
+                        ends.append(at + (len(terms) if span is None else 1))
+                        owner.append(np.full(len(at), k))
+            n = len(block.rows)
             lens = np.diff(block.starts) - gap
-            out = {"key": block.rows, "n_words": lens.tolist(), "spans": [[] for _ in block.rows], "items": [[] for _ in block.rows]}
+            out = {"block": [row["block"]] * n, "place": list(range(n)), "key": block.rows, "n_words": lens.tolist(), "spans": [[] for _ in range(n)], "items": [[] for _ in range(n)]}
             if begins:
                 begin, end, own = np.concatenate(begins), np.concatenate(ends), np.concatenate(owner)
                 order = np.argsort(begin, kind="stable")
@@ -170,46 +194,44 @@ def _find(batches: Iterator[pa.RecordBatch], phrases, gap: int, span: int | None
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
 
-FOUND = pa.schema(
-    [("key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]
-)
-FOUND_SQL = "key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+FOUND = [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]
+FOUND_SQL = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def _chunks(items: DataFrame, window: int, chunk: int) -> Iterator[list]:
-    """The phrases of the items, at most about chunk of them at a time (an item is not split)."""
+    """The phrases of the items, at most chunk of them at a time; one item after another is read on the driver."""
     held: dict[tuple[bytes, ...], set[str]] = {}
     for r in items.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
-        for w in windows(r["text"], window):
-            held.setdefault(w, set()).add("" if r["i"] is None else r["i"])
-        if len(held) >= chunk:
-            yield [(w, sorted(s)) for w, s in held.items()]
-            held = {}
+        w = words(r["text"])
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            held.setdefault(tuple(w[i : i + window]), set()).add("" if r["i"] is None else r["i"])
+            if len(held) >= chunk:
+                yield [(w, sorted(s)) for w, s in held.items()]
+                held = {}
     yield [(w, sorted(s)) for w, s in held.items()]
 
 
 def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, span: int | None = None, chunk: int = CHUNK_PHRASES) -> DataFrame:
-    """One row per indexed document: key, n_words, spans (merged word ranges of phrase occurrences) and items
-    (ids, as strings, sorted, that have a phrase there). With span, terms need only stand within span words of
-    the phrase's rarest term, in any order, and spans hold that term's positions."""
+    """One row per indexed row: key, n_words, spans (merged word ranges of phrase occurrences) and items (ids, as strings,
+    sorted, that have a phrase there). With span, terms need only stand within span words of the phrase's rarest term, in
+    any order, and spans hold that term's positions."""
     sc = index.sparkSession.sparkContext
+    schema = f"block string, place int, key {index.schema['rows'].dataType.elementType.simpleString()}, {FOUND_SQL}"
     parts = []
     for phrases in _chunks(items, window, chunk):
-        sent = sc.broadcast(phrases)
-        parts.append(index.mapInArrow(lambda it, sent=sent: _find(it, sent.value, window, span, FOUND), FOUND_SQL))
+        sent = sc.broadcast((phrases, _listed(phrases)))
+        parts.append(index.mapInArrow(lambda it, sent=sent: _find(it, sent.value, window, span), schema))
     if len(parts) == 1:
-        return parts[0]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        return parts[0].drop("block", "place")
     merge = F.expr(
         "aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<start:long,end:long>>), (a, s) ->"
         " if(size(a) > 0 and s.start <= element_at(a, -1).end, concat(slice(a, 1, size(a) - 1),"
         " array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, s.end) as end))), concat(a, array(s))))"
     )
-    return found.groupBy("key").agg(
-        F.max("n_words").alias("n_words"), merge.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    found = reduce(DataFrame.unionByName, parts).groupBy("block", "place").agg(
+        F.first("key").alias("key"), F.max("n_words").alias("n_words"), merge.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
+    return found.drop("block", "place")
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, window: int = WINDOW, chunk: int = CHUNK_PHRASES) -> DataFrame:
@@ -220,9 +242,9 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     id count once; a null item id counts as the empty string. Rows that repeat a doc_id, and null ids, keep a row
     each. An empty benchmark hits nothing; an empty table gives no rows. Other columns are ignored.
     """
-    found = row_matches(docs, items, window, chunk)
+    found = matches(build_index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", window), items, window, None, chunk)
     return found.select(
-        "doc_id",
+        F.col("key").alias("doc_id"),
         "n_words",
         F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -231,23 +253,10 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     )
 
 
-def row_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, chunk: int = CHUNK_PHRASES) -> DataFrame:
-    """(doc_id, n_words, spans, items) per row of docs. With one chunk of phrases the key is the doc_id itself and
-    nothing is shuffled; with more, rows are numbered first so that repeated and null ids stay apart."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = _chunks(items, window, chunk)
-    next(chunks)
-    if next(chunks, None) is None:
-        return matches(build_index(slim, "doc_id", window), items, window, None, chunk).withColumnRenamed("key", "doc_id")
-    rows = saved(slim.withColumn("row", F.monotonically_increasing_id()))
-    found = matches(build_index(rows, "row", window), items, window, None, chunk)
-    return rows.select("doc_id", "row").join(found, rows.row == found.key).select("doc_id", "n_words", "spans", "items")
-
-
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, chunk: int = CHUNK_PHRASES) -> DataFrame:
-    """docs without the rows in which a window of an item occurs. Rows are numbered, so a repeated or null doc_id
-    never takes another row with it."""
-    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = matches(build_index(rows, "__row", window), items, window, None, chunk)
-    hit = found.filter(F.size("spans") > 0).select(F.col("key").alias("__row"))
-    return rows.join(hit, "__row", "left_anti").select(*docs.columns)
+    """docs without the rows in which a window of an item occurs. Rows are known by doc_id and text together, so a
+    repeated or null doc_id never takes another row with it. Null and blank texts stay, as does every row if the benchmark
+    is empty; rows that repeat stay or go together; columns may have any names; an empty table gives no rows."""
+    index = build_index(docs.select(F.struct(*row_keys()).alias("k"), "text"), "k", window)
+    found = matches(index, items, window, None, chunk)
+    return without(docs, saved(found.filter(F.size("spans") > 0).select("key.k1", "key.k2").distinct()))
