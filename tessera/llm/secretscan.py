@@ -6,9 +6,11 @@ documents containing it, as posting lists cut into blocks of documents; a rule's
 postings block by block, and only its candidates are verified with the regular expression. A rule whose
 expression has no mandatory trigram is run over every document.
 
-Scale: postings are made where the text is read, and only (block, trigram, key) rows are shuffled. The
-number of blocks follows the number of documents, so a trigram that stands in a third of all documents is
-a third of each block's keys, never one list. Candidates are joined back to the text by the document's key.
+Scale: postings are made where the text is read. The number of blocks follows the number of documents, so
+a trigram that stands in a third of all documents is a third of each block's keys, never one list. Keys
+hash the whole row (id and text), so a null or repeated id is no hot key. Candidates meet the texts by
+that key once: a broadcast where Spark finds the candidates small enough, else one shuffle of the texts
+against few small rows, which AQE may split. Texts are scanned whole, however long.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import row_keys, saved
 
 #: Keys of one block of the index.
 BLOCK_KEYS = 32_768
@@ -165,9 +167,9 @@ def trigrams(query: Query) -> set[str]:
 # --- index and candidates ---------------------------------------------------------------------------
 
 
-def document_key(column: str = "doc_id") -> Column:
-    """A key that is never null; documents that share one are candidates together, which verification sorts out."""
-    return F.xxhash64(F.col(column))
+def document_key() -> Column:
+    """A key that is never null; rows that share one are candidates together, which verification sorts out."""
+    return row_keys()[0]
 
 
 def build_index(docs: DataFrame, vocabulary: list[str], blocks: int) -> DataFrame:
@@ -214,19 +216,17 @@ SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
 def _spans(rule: Rule, rank: int) -> Column:
-    """The rule's spans in column __body, leftmost and non-overlapping, then those with a long enough group. Offsets
-    come from the lengths of the matches and of the text between them."""
-    between = F.split("__body", rule.pattern, -1)
-    found = F.regexp_extract_all("__body", F.lit(rule.pattern), F.lit(0))
-    value = F.regexp_extract_all("__body", F.lit(rule.pattern), F.lit(rule.group))
-    zipped = F.arrays_zip(between.alias("p"), found.alias("m"), value.alias("v"))
+    """The rule's spans in column body, leftmost and non-overlapping, then those with a long enough group. Offsets come
+    from the lengths of the matches and of the text between them; the group is read from the match alone."""
+    zipped = F.arrays_zip(F.split("body", rule.pattern, -1).alias("p"), F.regexp_extract_all("body", F.lit(rule.pattern), F.lit(0)).alias("m"))
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(a, x):
         start = a["at"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))).cast(SPAN)
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= rule.least, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+        value = F.regexp_extract(x["m"], rule.pattern, rule.group) if rule.group else x["m"]
+        return F.struct(end.alias("at"), F.when(F.length(value) >= rule.least, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(zipped, zero, step, lambda a: a["out"])
 
@@ -237,20 +237,21 @@ def _listed(spans: Column, kinds: list[str]) -> Column:
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
-    """docs plus __spans: all spans (start, rank of the rule, end), ordered so, in code points, end exclusive."""
+    """(r, spans): each row of docs as a struct, whatever its columns are called, with all spans (start, rank of the rule,
+    end), ordered so, in code points, end exclusive."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     vocabulary = sorted(set().union(*map(trigrams, queries.values())))
     blocks = max(1, -(-docs.count() // BLOCK_KEYS))
     index = build_index(docs.select("doc_id", "text"), vocabulary, blocks)
-    chosen = candidates(index, queries).withColumnRenamed("key", "__key").withColumnRenamed("rules", "__rules")
-    joined = docs.withColumn("__key", document_key()).join(chosen, "__key", "left")
-    body = F.coalesce("text", F.lit(""))
+    chosen = candidates(index, queries)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), document_key().alias("key"))
+    joined = packed.join(chosen, "key", "left").withColumn("body", F.coalesce("r.text", F.lit("")))
     none = F.array().cast(SPAN)
     found = []
     for rank, r in enumerate(rules):
-        asked = F.array_contains("__rules", r.kind) if queries[r.kind] is not True else F.col("__body").rlike(r.pattern)
+        asked = F.array_contains("rules", r.kind) if queries[r.kind] is not True else F.col("body").rlike(r.pattern)
         found.append(F.when(F.coalesce(asked, F.lit(False)), _spans(r, rank)).otherwise(none))
-    return joined.withColumn("__body", body).withColumn("__spans", F.array_sort(F.concat(*found))).drop("__key", "__rules", "__body")
+    return joined.select("r", F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def secrets(docs: DataFrame, added: tuple[Rule, ...] = ADDED) -> DataFrame:
@@ -262,37 +263,40 @@ def secrets(docs: DataFrame, added: tuple[Rule, ...] = ADDED) -> DataFrame:
     """
     kinds = [r.kind for r in BASE + added]
     out = with_spans(docs.select("doc_id", "text"), BASE + added)
-    base = F.filter("__spans", lambda s: s["rank"] < len(BASE))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
 
     def of(rank: int):
         return lambda s: s["rank"] == rank
 
-    counts = [F.size(F.filter("__spans", of(k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
+    counts = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
     return out.select(
-        "doc_id",
+        F.col("r.doc_id").alias("doc_id"),
         *counts,
         F.sha2(_listed(base, kinds).cast("binary"), 256).alias("base_sha256"),
-        _listed(F.col("__spans"), kinds).alias("spans"),
-        (F.size("__spans") - F.size(base)).cast("long").alias("n_added"),
+        _listed(F.col("spans"), kinds).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
     )
 
 
 def masked(docs: DataFrame, mark: str = "[SECRET]", added: tuple[Rule, ...] = ADDED) -> DataFrame:
     """docs with every found span, overlapping ones as one, replaced by a mark and n_chars set to the new length.
-    Rows without spans, null texts among them, stay as they are."""
+    Rows without spans, null and empty texts among them, stay as they are; rows that repeat, or share an id or a null id,
+    keep a row each; columns may have any names; an empty table gives no rows."""
     found = with_spans(docs, BASE + added)
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    text = F.col("r.text")
 
     def step(a, s):
-        before = F.substr("text", (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+        before = F.substr(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
         out = F.when(s["start"] >= a["at"], F.concat(a["out"], before, F.lit(mark))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("__spans", zero, step, lambda a: F.concat(a["out"], F.substr("text", (a["at"] + 1).cast("int"))))
-    text = F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))
-    size = F.when(F.size("__spans") > 0, F.length("__text").cast("bigint")).otherwise(F.col("n_chars"))
-    out = found.withColumn("__text", text)
-    return out.select(*[F.col("__text").alias("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    done = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    out = found.select("r", "spans", F.when(F.size("spans") > 0, done).otherwise(text).alias("masked"))
+    new = {"text": F.col("masked")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("masked").cast("bigint")).otherwise(F.col("r.n_chars"))
+    return out.select(*[new.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
 
 
 def reference_spans(text: str | None, rules: tuple[Rule, ...] = BASE) -> list[tuple[int, int, int]]:
