@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bucket
-from .labelled import MAX_ROWS, MAX_TEXT, training_sample
+from .labelled import MAX_ROWS, training_sample
 
 FOLD, HELD_OUT = 4, 2
 CUT = 0.7
@@ -154,21 +154,30 @@ def fit(x: np.ndarray, y: np.ndarray, share: float | None = None, trees: int = T
     return Forest(as_int[0], np.array(threshold), as_int[1], as_int[2], np.array(value), as_int[3], depth, base)
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_text: int = MAX_TEXT) -> Forest:
-    sample, share = training_sample(docs, labels, "quality", FOLD, HELD_OUT, max_rows, max_text)
-    x = np.array([statistics(t) for t, _ in sample]).reshape(-1, len(NAMES))
-    return fit(x, np.array([y for _, y in sample], float), share)
+def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Forest:
+    """A forest of the sample's statistics, which are made where the texts are: no text reaches the driver."""
+    texts, of, share = training_sample(docs, labels, "quality", FOLD, HELD_OUT, max_rows)
+
+    @F.pandas_udf("array<double>")
+    def measured(found):
+        import pandas as pd
+
+        return pd.Series([statistics(t).tolist() for t in found])
+
+    rows = {r[0]: r[1] for r in texts.select("doc_id", measured("text")).collect()} if of else {}
+    x = np.array([rows[i] for i in sorted(rows)]).reshape(-1, len(NAMES))
+    return fit(x, np.array([of[i] for i in sorted(rows)], float), share)
 
 
-def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_text: int = MAX_TEXT) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Null, empty and blank texts have zero statistics and the score of these. Labels that are null, not 0 or 1, or
     without an id are not used; of repeated labels the larger counts. Without labelled rows every score is 0.5; with
     one label only, near that label. Null ids count as the empty text for the fold. Rows that repeat keep a row each;
-    other columns are ignored.
+    very long texts count whole; other columns are ignored; an empty table gives no rows.
     """
-    forest = trained(docs, labels, max_rows, max_text)
+    forest = trained(docs, labels, max_rows)
 
     @F.pandas_udf("double")
     def scored(texts):

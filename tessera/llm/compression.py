@@ -9,7 +9,7 @@ compared with thresholds. Marks whose every letter run the ordinary dictionary k
 hides toxic words of the rarer languages, so the marks a text holds are also weighed by their log odds. A logistic curve
 fitted on other labelled rows turns the counts and weights into a score.
 
-Scale: fitting uses a bounded sample (labelled.MAX_ROWS, MAX_TEXT); scoring is one pass over the whole
+Scale: fitting uses a bounded sample of whole texts (labelled.MAX_ROWS); scoring is one pass over the whole
 texts without a shuffle, its model (two dictionaries, at most 0.5 MB) goes along with the tasks.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bucket
-from .labelled import MAX_ROWS, MAX_TEXT, training_sample
+from .labelled import MAX_ROWS, training_sample
 
 FOLD, HELD_OUT = 3, 1
 CUT = 0.7
@@ -36,6 +36,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 400_000, 32_768
 #: The least log-likelihood ratio at which a word sets toxic text apart.
 LEAST_RATIO = 16.0
 THRESHOLDS = (2, 3, 4, 6)
+#: Bytes of the smallest dictionary that zstandard trains.
+LEAST_DICTIONARY = 4096
 #: A mark is weighed if so many toxic texts hold it and its log odds exceed LEAST_ODDS.
 LEAST_TEXTS, LEAST_ODDS = 4, 2.0
 #: A-Z becomes a-z; what is neither a letter nor beyond ASCII becomes a space.
@@ -104,15 +106,14 @@ def _evidence(b: bytes, weights: dict[bytes, float]) -> list[float]:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary, filled up to size with samples as they are."""
+    """A trained dictionary, filled up to size with samples as they are. Few, short or all equal samples are nothing that
+    zstandard can train on; then the samples themselves are the dictionary."""
     total = sum(map(len, samples))
     size = min(size, total // 2)
-    content = b""
-    if len(samples) >= 8:
-        try:
-            content = zstd.train_dictionary(size, samples).as_bytes()
-        except (zstd.ZstdError, ValueError):
-            pass
+    try:
+        content = zstd.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 and size >= LEAST_DICTIONARY else b""
+    except zstd.ZstdError:
+        content = b""
     rest = size - len(content)
     return (b"".join(samples)[:rest] if rest > 0 else b"") + content
 
@@ -222,18 +223,20 @@ def with_score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame
     return docs.withColumn(column, scored(F.col("text")))
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_text: int = MAX_TEXT) -> dict:
-    return fit(*training_sample(docs, labels, "toxic", FOLD, HELD_OUT, max_rows, max_text))
+def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
+    texts, of, share = training_sample(docs, labels, "toxic", FOLD, HELD_OUT, max_rows)
+    return fit([(t, of[i]) for i, t in sorted(map(tuple, texts.collect()))] if of else [], share)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_text: int = MAX_TEXT) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Null and empty texts are scored as one empty window. Labels that are null, not 0 or 1, or without an id are not
     used; of repeated labels the larger counts. Without labelled rows of both classes every score is 0. Null ids
-    count as the empty text for the fold. Rows that repeat keep a row each; other columns are ignored.
+    count as the empty text for the fold. Rows that repeat keep a row each; very long texts count whole, all their
+    windows; other columns are ignored; an empty table gives no rows.
     """
-    out = with_score(docs.select("doc_id", "text"), trained(docs, labels, max_rows, max_text))
+    out = with_score(docs.select("doc_id", "text"), trained(docs, labels, max_rows))
     return out.select(
         "doc_id",
         (id_bucket(F.col("doc_id"), FOLD) == HELD_OUT).alias("held_out"),
@@ -242,6 +245,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_t
     )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_text: int = MAX_TEXT) -> DataFrame:
-    """docs without the rows scored at CUT or more."""
-    return with_score(docs, trained(docs, labels, max_rows, max_text), "__score").filter(F.col("__score") < CUT).select(*docs.columns)
+def without_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """docs without the rows scored at CUT or more. Null and empty texts are scored as one empty window; without labelled
+    rows of both classes every row stays; rows that repeat stay or go together; columns may have any names; an empty table
+    gives no rows."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), "text")
+    return with_score(packed, trained(docs, labels, max_rows)).filter(F.col("score") < CUT).select("r.*")
