@@ -5,8 +5,13 @@ text that the tokenizer never joins, inner nodes their sums. An edit finds the l
 descending on lengths, cuts the text once more over these leaves and one on either side (the boundary
 context that decides where the tokenizer splits), encodes only that, and updates sums on the paths above.
 
-Scale: each document is counted where it is read; nothing is shuffled. A tree has a leaf per pre-token run,
-so it is a fraction of its text.
+Trees are kept as a table: a row's text with the lengths and counts of its leaves, from which the inner nodes
+are sums. with_trees makes it, apply_edits takes it with a batch of edits and gives it back edited, so a later
+batch again encodes no more than what it touches.
+
+Scale: each document is handled where it is read; nothing is shuffled. A tree has a leaf per pre-token run,
+so it is a fraction of its text. A document of any length is one tree in one task; a text without certain
+splits (no single spaces) is one leaf, which each of its edits encodes again.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .tokens import BYTE_BPE, default_path, encoder
 
 #: Code points of a leaf, about: a run ends at the first certain split from there on.
@@ -44,10 +50,20 @@ def cut(text: str, least: int = LEAF) -> list[str]:
 class CountTree:
     """A segment tree of (length, tokens) over the runs of a text; count() is the root's sum."""
 
-    def __init__(self, text: str, count, least: int = LEAF):
+    def __init__(self, text: str, count, least: int = LEAF, leaves: tuple[list[int], list[int]] | None = None):
+        """leaves: the lengths and counts of a kept tree; without them the text is cut and encoded."""
         self._count, self._least = count, least
         self.encoded = 0  # code points encoded so far
-        self._build(cut(text, least))
+        if leaves is None:
+            self._build(cut(text, least))
+        else:
+            ends = np.cumsum(leaves[0]).tolist()
+            self._build([text[a:z] for a, z in zip([0, *ends], ends)], leaves[1])
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """The lengths and counts of the leaves, to be kept."""
+        at = slice(self.size, self.size + len(self.runs))
+        return self.chars[at].tolist(), self.sums[at].tolist()
 
     def _tokens(self, run: str) -> int:
         self.encoded += len(run)
@@ -124,40 +140,82 @@ class CountTree:
             self._build(self.runs[:low] + runs + self.runs[high:], kept[:low] + tokens + kept[high:])
 
 
-COUNTS = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_tokens", "edited_tokens", "edited_chars", "n_chars", "reencoded_chars")])
-COUNTS_SQL = "doc_id long, n_tokens long, edited_tokens long, edited_chars long, n_chars long, reencoded_chars long"
+TREE_SQL = "doc_id long, text string, lens array<int>, counts array<int>"
+TREE = [("doc_id", pa.int64()), ("text", pa.string()), ("lens", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]
+DONE = [(c, pa.int64()) for c in ("n_tokens", "edited_tokens", "edited_chars", "n_chars", "reencoded_chars")]
+DONE_SQL = f"{TREE_SQL}, n_tokens long, edited_tokens long, edited_chars long, n_chars long, reencoded_chars long"
 
 
-def _counted(batches: Iterator[pa.RecordBatch], path: str, least: int) -> Iterator[pa.RecordBatch]:
+def _counter(path: str):
     enc = encoder(path)
     width = enc.dtype.itemsize
+    return lambda run: len(enc.encode(run)) // width
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
-    def count(run: str) -> int:
-        return len(enc.encode(run)) // width
 
+def _planted(batches: Iterator[pa.RecordBatch], path: str, least: int) -> Iterator[pa.RecordBatch]:
+    count, schema = _counter(path), pa.schema(TREE)
     for b in batches:
         rows = []
-        for doc, text, edits in zip(*(b.column(i).to_pylist() for i in range(3))):
-            tree = CountTree(text or "", count, least)
-            n, size, spent = tree.count(), len(tree), tree.encoded
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows.append((doc, text or "", *CountTree(text or "", count, least).leaves()))
+        yield _batch(rows, schema)
+
+
+def _edited(batches: Iterator[pa.RecordBatch], path: str, least: int) -> Iterator[pa.RecordBatch]:
+    count, schema = _counter(path), pa.schema(TREE + DONE)
+    for b in batches:
+        rows = []
+        for doc, text, lens, counts, edits in zip(*(b.column(i).to_pylist() for i in range(5))):
+            tree = CountTree(text, count, least, (lens, counts))
+            n, size = tree.count(), len(tree)
             for e in edits or []:
                 if e is not None:
                     tree.replace(e["start"] or 0, (e["start"] or 0) + max(0, e["length"] or 0), e["text"] or "")
-            rows.append((doc, n, tree.count(), len(tree), size, tree.encoded - spent))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6, schema=COUNTS)
+            rows.append((doc, tree.text(), *tree.leaves(), n, tree.count(), len(tree), size, tree.encoded))
+        yield _batch(rows, schema)
+
+
+def with_trees(docs: DataFrame, path: str | None = None, least: int = LEAF) -> DataFrame:
+    """The trees of docs (doc_id, text), a row per row: doc_id, text (null: empty), lens and counts of the leaves."""
+    path = path or default_path(BYTE_BPE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _planted(it, path, least), TREE_SQL)
+
+
+def apply_edits(trees: DataFrame, edits: str = "edits", path: str | None = None, least: int = LEAF) -> DataFrame:
+    """Kept trees after the edits in a column of theirs (array<struct<start, length, text>>, applied in order): the trees'
+    columns, to be kept again, and n_tokens before the edits, edited_tokens and edited_chars after them, n_chars,
+    reencoded_chars (code points encoded for the edits: touched runs and one on either side, nothing else)."""
+    path = path or default_path(BYTE_BPE)
+    kind = "array<struct<start:long,length:long,text:string>>"
+    slim = trees.select("doc_id", "text", "lens", "counts", F.col(edits).cast(kind))
+    return slim.mapInArrow(lambda it: _edited(it, path, least), DONE_SQL)
 
 
 def edit_counts(docs: DataFrame, edits: str = "edits", path: str | None = None, least: int = LEAF) -> DataFrame:
     """One row per row of docs (doc_id, text, edits: array<struct<start, length, text>>, applied in order): doc_id,
-    n_tokens before the edits, edited_tokens and edited_chars after them, n_chars, reencoded_chars.
+    n_tokens before the edits, edited_tokens and edited_chars after them, n_chars, reencoded_chars. The trees are written
+    to the shared folder before the edits come.
 
     Null texts are empty; null edits, or null parts of one, change nothing; positions beyond the text are clamped to
     it. Rows that repeat, and null ids, keep a row each; other columns are ignored; an empty table gives no rows.
     """
     path = path or default_path(BYTE_BPE)
     kind = "array<struct<start:long,length:long,text:string>>"
-    slim = docs.select(F.col("doc_id").cast("long"), "text", F.col(edits).cast(kind))
-    return slim.mapInArrow(lambda it: _counted(it, path, least), COUNTS_SQL)
+    slim = docs.select(F.col("doc_id").cast("long"), "text", F.col(edits).cast(kind).alias("edits"))
+    trees = saved(slim.mapInArrow(lambda it: _planted_beside(it, path, least), f"{TREE_SQL}, edits {kind}"))
+    return apply_edits(trees, "edits", path, least).select("doc_id", "n_tokens", "edited_tokens", "edited_chars", "n_chars", "reencoded_chars")
+
+
+def _planted_beside(batches: Iterator[pa.RecordBatch], path: str, least: int) -> Iterator[pa.RecordBatch]:
+    """_planted with the third column, the edits, kept beside the trees."""
+    for b in batches:
+        for made in _planted(iter([b]), path, least):
+            yield pa.RecordBatch.from_arrays([*made.columns, b.column(2)], names=[*made.schema.names, "edits"])
 
 
 def standard_edits(text: str = "text"):

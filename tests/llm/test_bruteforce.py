@@ -13,7 +13,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import boosting, compression, editcount, iblt, katz, packing, positional, rans, secretscan, simhash, tokens
+from pyspark.sql import functions as F
+
+from tessera.llm import boosting, compression, editcount, iblt, katz, packing, positional, queries, rans, secretscan, simhash, tokens
 
 
 def texts(df):
@@ -223,11 +225,26 @@ def whole_cached(name):
 
 def test_special_tokens_and_a_full_table():
     for name in (tokens.BYTE_BPE, tokens.WORD_BPE):
-        e = tokens.Encoder(tokens.default_path(name), table_words=3)
+        e = tokens.Encoder(tokens.default_path(name), table_bytes=600)
         for t in ("x <|endoftext|> y", "a<|endoftext|>b", "<|ENDOFTEXT|>", "one two three four five one two", "it's John's"):
             assert e.ids(t).tolist() == whole_cached(name)(t)
 
 
+def test_blocks_and_long_documents(prepared, small):
+    """Documents over many blocks and segments, whose checksums come from pieces."""
+    rows = [*texts(small).items(), (9000, "long words over many blocks. " * 500), (9001, None)]
+    d = prepared.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: tuple(r) for r in rans.encoded(d).collect()}
+    got = rans.read_ids(rans.write_ids(d, block=300, segment=5000))
+    assert {r["doc_id"]: tuple(r) for r in got.collect()} == want
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.binary(max_size=60), st.binary(max_size=300))
+def test_combined_crc(a, b):
+    assert rans.combined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 # --- 7 edits
 
 
@@ -252,6 +269,30 @@ def test_edits_encode_little():
     assert tree.encoded - before < 500
 
 
+def test_registered_edits(prepared):
+    """The registered query on whole tables against whole encodings of texts edited by slices."""
+    sf = "/root/testdata/sf0.001"
+    encode = whole(tokens.BYTE_BPE)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_edit_counts"](prepared, sf).collect()}
+    for i, t in texts(prepared.read.parquet(f"{sf}/documents.parquet")).items():
+        t = t or ""
+        n = len(t)
+        e = t[: n // 2] + "edited words here" + t[n // 2 + 10 :]
+        e = e[: n // 4] + " inserted " + e[n // 4 :] + t[:20]
+        assert (got[i]["n_tokens"], got[i]["edited_tokens"], got[i]["edited_chars"], got[i]["n_chars"]) == (len(encode(t)), len(encode(e)), len(e), n)
+
+
+def test_kept_trees(prepared, small):
+    """Trees written, edited, written and edited again: counts as of the whole text, little of it encoded."""
+    encode = whole(tokens.BYTE_BPE)
+    edit = lambda df, at: df.withColumn("edits", F.array(F.struct(F.lit(at).cast("long").alias("start"), F.lit(3).cast("long").alias("length"), F.lit("new words").alias("text"))))
+    trees = editcount.with_trees(small.limit(60)).cache()
+    once = editcount.apply_edits(edit(trees, 200)).select("doc_id", "text", "lens", "counts").cache()
+    for r in editcount.apply_edits(edit(once, 10)).collect():
+        assert r["edited_tokens"] == sum(r["counts"]) == len(encode(r["text"])) and sum(r["lens"]) == len(r["text"])
+        assert r["reencoded_chars"] <= 600 or r["n_chars"] < 700 or " " not in r["text"]
+
+
 # --- 8 contamination
 
 
@@ -293,9 +334,9 @@ def test_proximity(prepared):
 # --- 9 SimHash
 
 
-def brute_print(text):
+def brute_print(text, size=3):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(simhash.LOWER))
-    h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + size]), 42) for k in range(max(1, len(w) - size + 1))] if w else []
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
@@ -344,7 +385,7 @@ def test_dense_groups_and_chains(prepared):
     chain = [((1 << k) - 1) << 2 for k in range(0, 40)]
     prints = dict(enumerate({*cluster, *chain}))
     df = prepared.createDataFrame([(i, int(np.uint64(p).view(np.int64))) for i, p in prints.items()], "doc_id long, fp long")
-    for size in (20_000, 8):
+    for size in (20_000, 8, 1):
         got = {r["fp"]: r["component_id"] for r in simhash.classes(df, 2, size).collect()}
         want = brute_classes(prints, 2)
         assert {i: got[int(np.uint64(p).view(np.int64))] for i, p in prints.items()} == want
