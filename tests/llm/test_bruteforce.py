@@ -1,5 +1,6 @@
 """Operators against brute force on small tables."""
 
+import base64
 import hashlib
 import math
 import re
@@ -154,27 +155,82 @@ def test_katz(small, sizes):
 # --- 5 sketches
 
 
-def test_fingerprints(small):
-    t = texts(small)
-    ids = sorted(t, reverse=True)
-    cut = re.compile(rf"[^\n]{{{iblt.PARAGRAPH},}}?[.!?](?=\s|$)|[^\n]+")
-    got = {r["doc_id"]: r for r in iblt.fingerprints(small).collect()}
+CUT = re.compile(rf"[^\n]{{{iblt.PARAGRAPH},{4 * iblt.PARAGRAPH}}}?[.!?](?=\s|$)|[^\n]{{{iblt.PARAGRAPH}}}[^\n ]*|[^\n]+")
+
+
+def digests(text):
+    return {xxhash.xxh64_intdigest(p.encode(), 42) for p in CUT.findall(text) if p.strip(" ")}
+
+
+def brute_cells(keys, width, salt):
+    """Count, XOR and check of each cell; hashes of (key, number) as the engine chains them."""
+    chained = lambda k, n: xxhash.xxh64_intdigest(n.to_bytes(4, "little"), xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42))
+    cells = [[0, 0, 0] for _ in range(3 * width)]
+    bits = width.bit_length() - 1
+    for k in keys:
+        for row in range(3):
+            c = cells[row * width + (chained(k, salt) >> row * bits) % width]
+            c[0], c[1], c[2] = c[0] + 1, c[1] ^ k, c[2] ^ chained(k, 7)
+    return cells
+
+
+def check_fingerprints(order, got):
+    """order: (id, text) as documents follow each other, got: rows in the same order."""
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    show = lambda keys: ",".join(sorted(f"{k:016x}" for k in keys))
     prints = defaultdict(set)
-    for k, i in enumerate(ids):
-        after = t[ids[(k + 1) % len(ids)]]
-        f = len(t[i]) // 3
-        edited = t[i][: len(t[i]) - f] + after[:f]
-        own, ed, nx = (set(cut.findall(x)) for x in (t[i], edited, after))
-        r = got[i]
-        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(t[i])
+    for k, ((i, text), r) in enumerate(zip(order, got)):
+        after = order[(k + 1) % len(order)][1]
+        f = len(text) // 3
+        edited = text[: len(text) - f] + after[:f]
+        own, ed, nx = digests(text), digests(edited), digests(after)
+        assert r["doc_id"] == i
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(text)
         assert r["near_edited"] == pytest.approx(like(own, ed)) and r["near_next"] == pytest.approx(like(own, nx))
         assert r["differing_edited"] == len(own ^ ed) and r["differing_next"] == len(own ^ nx)
-        prints[t[i]].add(r["fingerprint"])
+        assert (r["removed"], r["added"]) == (show(own - ed), show(ed - own))
+        packed = b"".join(n.to_bytes(4, "big") + x.to_bytes(8, "big") + c.to_bytes(8, "big") for n, x, c in brute_cells(own, iblt.WIDTH, 3))
+        assert base64.b64decode(r["fingerprint"]) == packed
+        prints[text].add(r["fingerprint"])
         prints[edited].add(r["edited_fingerprint"])
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_fingerprints(small):
+    got = {r["doc_id"]: r for r in iblt.fingerprints(small).collect()}
+    order = sorted(texts(small).items(), reverse=True)
+    check_fingerprints(order, [got[i] for i, _ in order])
+
+
+@pytest.mark.parametrize("range_rows", [250_000, 10])
+def test_fingerprints_of_hot_and_null_ids(prepared, range_rows, monkeypatch):
+    """Two thirds of all rows share an id or have none; ranges of few rows."""
+    kept = iblt.with_next
+    monkeypatch.setattr(iblt, "with_next", lambda d: kept(d, range_rows))
+    text = lambda k: f"text {k}. " + "It goes on for a while, and on, and on, as it does. " * (k % 5)
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, text(k)) for k in range(240)]
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -signed(r[1])))
+    out = iblt.fingerprints(prepared.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["doc_id"], r["n_chars"], r["fingerprint"]].append(r)
+    assert len(out) == len(rows)
+    sha = {(r["doc_id"], r["edited_sha256"]) for r in out}
+    for k, (i, t) in enumerate(order):
+        f = len(t) // 3
+        assert (i, hashlib.sha256((t[: len(t) - f] + order[(k + 1) % len(order)][1][:f]).encode()).hexdigest()) in sha
+
+
+def test_small_sketches_retry(prepared):
+    """Parts of far more digests than they are meant for peel in a later, wider sketch."""
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(-(1 << 62), 1 << 62, n).tolist() for n in (60, 45))
+    d = prepared.createDataFrame([(a + b[:20], b)], "a array<long>, b array<long>").withColumn("p", F.struct("a", "b"))
+    r = d.select(F.expr(iblt._part_difference("p")).alias("r")).first()["r"]
+    assert r["ok"] and sorted(r["a"]) == sorted(a) and sorted(r["b"]) == sorted(b[20:])
+
+
 # --- 6 token files
 
 
