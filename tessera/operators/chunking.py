@@ -138,6 +138,50 @@ def declaration_problems(declarations: DataFrame) -> DataFrame:
     return repeated.unionByName(unknown).unionByName(outside).unionByName(overlap)
 
 
+def declaration_depths(declarations: DataFrame) -> DataFrame:
+    """(file_id, id, depth) of declarations (file_id, id, parent_id): 0 for a root, null for one that hangs from no root,
+    as in a cycle or below one, or under an unknown parent. Level by level until one finds nothing."""
+    links = declarations.select("file_id", "id", "parent_id")
+    now = links.filter("parent_id = ''").select("file_id", "id", F.lit(0).alias("depth"))
+    every, level = now, 0
+    while not now.isEmpty():
+        level += 1
+        above = now.select("file_id", F.col("id").alias("parent_id"))
+        now = links.join(above, ["file_id", "parent_id"]).select("file_id", "id", F.lit(level).alias("depth"))
+        every = every.unionByName(now)
+    return links.select("file_id", "id").join(every, ["file_id", "id"], "left")
+
+
+def chunk_problems(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, problem) of chunks against the files of a view (id, repository_id, project_ids, size): identity, repeats,
+    membership that is not the file's, ranges outside the file or unlike the text."""
+    f = files.select(F.col("id").alias("file_id"), F.col("repository_id").alias("r"), F.col("project_ids").alias("p"), "size")
+    j = chunks.join(f, "file_id", "left")
+    same = (F.col("repository_id") == F.col("r")) & (F.col("project_ids") == F.col("p"))
+    text = F.octet_length(F.coalesce("text", F.lit("")))
+    ranged = (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("size")) & ((text == 0) | (text == F.col("end") - F.col("start")))
+    problem = F.when(F.coalesce("id", F.lit("")) == "", "identity").when(F.col("r").isNull(), "unknown file").when(~same, "membership").when(~ranged, "range")
+    twice = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and id <> ''").select("id", F.lit("repeated").alias("problem"))
+    return j.select("id", problem.alias("problem")).filter("problem is not null").unionByName(twice)
+
+
+def load(chunks: DataFrame, files: DataFrame, projects: list[str] | None = None, max_chunks: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """The chunks of a scope, whole or not at all: problems of any chunk, and a scope above either budget, raise when the
+    plan runs. The check is one row beside the chunks, so nothing is collected."""
+    scope = chunks.filter(F.arrays_overlap("project_ids", F.array(*map(F.lit, projects)))) if projects else chunks
+    bad = chunk_problems(chunks, files).agg(F.count(F.lit(1)).alias("bad"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + F.octet_length(F.coalesce("header", F.lit("")))
+    sums = scope.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).crossJoin(bad)
+    reason = F.when(F.col("bad") > 0, "invalid chunks").when((F.col("n") > max_chunks) | (F.col("bytes") > max_bytes), "scope too large")
+    ok = sums.select(F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(reason).cast("boolean")).alias("__ok"))
+    return scope.crossJoin(F.broadcast(ok)).filter("__ok").drop("__ok")
+
+
+def by_file(chunks: DataFrame) -> DataFrame:
+    """(file_id, n, chunk_ids) in order of start, end and id: what a view keeps for a file. Ids only, no texts."""
+    return chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "id"))), lambda c: c["id"]).alias("chunk_ids"))
+
+
 def item_bytes() -> Column:
     fields = ["id", "file_id", "parent_id", "header", "text"]
     return sum((F.octet_length(F.coalesce(F.col(c), F.lit(""))) for c in fields[1:]), F.octet_length(fields[0]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,11 +12,18 @@ INCOMING = {"references": "references", "callers": "calls", "reads": "reads", "w
 
 
 def merge(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per id, ids that shards disagree on) of rows that repeat an id."""
-    payload = F.xxhash64(*[c for c in shards.columns if c not in ("id", "shard")])
-    seen = shards.withColumn("payload", payload)
-    conflicts = seen.groupBy("id").agg(F.min("payload").alias("a"), F.max("payload").alias("b")).filter("a <> b").select("id")
-    return shards.drop("shard").dropDuplicates(["id"]), conflicts
+    """(one row per id, that of the first shard; ids that shards disagree on) of rows that repeat an id."""
+    rest = [c for c in shards.columns if c not in ("id", "shard")]
+    seen = shards.select("id", "shard", F.struct(*rest).alias("row"), F.xxhash64(*rest).alias("payload"))
+    one = seen.groupBy("id").agg(F.min_by("row", F.struct("shard", "payload")).alias("row"), F.min("payload").alias("a"), F.max("payload").alias("b"))
+    return one.select("id", "row.*").select(*[c for c in shards.columns if c != "shard"]), one.filter("a <> b").select("id")
+
+
+def capped(df: DataFrame, limit: int, *order) -> DataFrame:
+    """The first `limit` rows in the order given, each with truncated: whether there were more."""
+    w = Window.orderBy(*order)  # over limit + 1 rows
+    top = df.orderBy(*order).limit(limit + 1).withColumn("__n", F.row_number().over(w)).withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy()))
+    return top.filter(F.col("__n") <= limit).withColumn("truncated", F.col("__all") > limit).drop("__n", "__all")
 
 
 def scope(nodes: DataFrame, edges: DataFrame, projects: list[str] | None) -> tuple[DataFrame, DataFrame]:
@@ -46,18 +53,20 @@ def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def by_name(nodes: DataFrame, name: str, limit: int = MAX_TARGETS) -> DataFrame:
-    return nodes.filter(F.col("name") == name).orderBy("id").limit(limit)
+    """The nodes of a name, the first `limit` by id, with truncated."""
+    return capped(nodes.filter(F.col("name") == name), limit, "id")
 
 
 def incoming(nodes: DataFrame, edges: DataFrame, target: str, mode: str = "references", limit: int = MAX_EDGES) -> DataFrame:
-    """Edges of the mode's kind into the target, with the names of where they come from."""
+    """Edges of the mode's kind into the target, with the names of where they come from; the first by id, with truncated."""
     hit = edges.filter((F.col("target_id") == target) & (F.col("kind") == INCOMING[mode]))
-    return hit.join(nodes.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id").orderBy("id").limit(limit)
+    return hit.join(nodes.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id").transform(capped, limit, "id")
 
 
 def outgoing(nodes: DataFrame, edges: DataFrame, source: str, kinds: list[str], limit: int = MAX_EDGES) -> DataFrame:
+    """Edges of the kinds out of the source, with the names of where they lead; the first by id, with truncated."""
     hit = edges.filter((F.col("source_id") == source) & F.col("kind").isin(kinds))
-    return hit.join(nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target_name")), "target_id").orderBy("id").limit(limit)
+    return hit.join(nodes.select(F.col("id").alias("target_id"), F.col("name").alias("target_name")), "target_id").transform(capped, limit, "id")
 
 
 def callees(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
@@ -118,31 +127,43 @@ def status(notes: list[str], partial: bool = False, supported: bool = True) -> s
 
 
 def paths(edges: DataFrame, start: str, goal: str, depth: int = DEFAULT_DEPTH, limit: int = MAX_PATHS) -> DataFrame:
-    """Simple directed paths from start to goal, by length and then node ids: path (ids joined by >), length. A path ends
-    where it meets the goal."""
+    """Simple directed paths from start to goal, by length and then node ids: path (ids joined by >), length, truncated. A
+    path ends where it meets the goal.
+
+    Nodes from which the goal can be reached in so many steps are found first, backwards from the goal, one set per level;
+    forward steps keep to them, so no prefix is made that cannot be completed.
+    """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError("depth out of bounds")
     links = edges.select("source_id", "target_id").distinct()
     now = edges.sparkSession.createDataFrame([([start], start)], "path array<string>, at string")
+    near = [edges.sparkSession.createDataFrame([(goal,)], "target_id string")]  # by the steps that are left
+    for _ in range(depth - 1):
+        near.append(near[-1].union(links.join(near[-1], "target_id", "left_semi").select("source_id")).distinct())
     done = None
-    for _ in range(depth):
-        step = now.join(links, F.col("at") == F.col("source_id")).filter(~F.array_contains("path", F.col("target_id")))
+    for k in range(depth):
+        ahead = links.join(near[depth - 1 - k], "target_id", "left_semi")
+        step = now.join(ahead, F.col("at") == F.col("source_id")).filter(~F.array_contains("path", F.col("target_id")))
         step = step.select(F.concat("path", F.array("target_id")).alias("path"), F.col("target_id").alias("at"))
         hit = step.filter(F.col("at") == goal)
         done = hit if done is None else done.unionByName(hit)
         now = step.filter(F.col("at") != goal)
-    return done.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("length")).orderBy("length", "path").limit(limit)
+    return capped(done.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("length")), limit, "length", "path")
 
 
 def descendants(edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(root, id, depth): what each root (column id) contains, directly or not, at its least depth."""
+    """(root, id, depth, cut): what each root (column id) contains, directly or not, at its least depth; cut where the depth
+    ended the walk although the node contains something."""
     links = edges.filter("kind = 'contains'").select("source_id", "target_id")
     now = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
     every = now
     for level in range(1, depth + 1):
         now = now.join(links, F.col("id") == F.col("source_id")).select("root", F.col("target_id").alias("id"), F.lit(level).alias("depth")).distinct()
         every = every.unionByName(now)
-    return every.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+    found = every.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+    parents = links.select(F.col("source_id").alias("id"), F.lit(True).alias("holds")).distinct()
+    last = found.filter(F.col("depth") == depth).join(parents, "id", "left").select("root", "id", "depth", F.coalesce("holds", F.lit(False)).alias("cut"))
+    return found.filter(F.col("depth") < depth).withColumn("cut", F.lit(False)).unionByName(last)
 
 
 def structure(edges: DataFrame, seeds: list[str], depth: int = 2, max_nodes: int = 200) -> tuple[DataFrame, list[str]]:
@@ -173,9 +194,64 @@ def completeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges"), *counts))
 
 
-def owners(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(edge_id, shard): the file that holds an edge: its source's."""
-    return edges.join(nodes.select(F.col("id").alias("source_id"), "file_id"), "source_id").select(F.col("id").alias("edge_id"), F.col("file_id").alias("shard"))
+def shards(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with shard, edges with shard): a node belongs to its file, one without a file to the smallest file (id,
+    repository_id, project_ids) of its repository that all its projects hold; an edge goes where its source is."""
+    at = F.struct(F.col("f.id").alias("id"))
+    loose = nodes.filter(F.coalesce("file_id", F.lit("")) == "").alias("n")
+    fits = (F.col("n.repository_id") == F.col("f.repository_id")) & (F.size(F.array_except("n.project_ids", "f.project_ids")) == 0)
+    placed = loose.join(files.alias("f"), fits).groupBy("n.id").agg(F.min(at)["id"].alias("shard"))
+    owner = nodes.select("id", F.when(F.coalesce("file_id", F.lit("")) != "", F.col("file_id")).alias("own")).join(placed, "id", "left")
+    owner = owner.select("id", F.coalesce("own", "shard").alias("shard"))
+    return nodes.join(owner, "id"), edges.join(owner.withColumnRenamed("id", "source_id"), "source_id")
+
+
+def foreign(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, problem) of shard nodes (id, kind, file_id, shard, repository_id, project_ids) that their shard's file (id,
+    repository_id, project_ids) does not own: no identity, no such file, another file's, another repository's, or projects
+    that the file is not in."""
+    f = files.select(F.col("id").alias("shard"), F.col("repository_id").alias("r"), F.col("project_ids").alias("p"))
+    j = nodes.join(f, "shard", "left")
+    blank = (F.coalesce("id", F.lit("")) == "") | (F.coalesce("kind", F.lit("")) == "")
+    problem = (
+        F.when(blank, "identity").when(F.col("p").isNull(), "unknown file").when((F.coalesce("file_id", F.lit("")) != "") & (F.col("file_id") != F.col("shard")), "file")
+        .when(F.col("repository_id") != F.col("r"), "repository").when(F.size(F.array_except("project_ids", "p")) > 0, "projects")
+    )
+    return j.select("id", problem.alias("problem")).filter("problem is not null")
+
+
+def shared_projects(a: Column, b: Column) -> Column:
+    """The projects of an edge between two nodes: those both are in, sorted; empty where there are none, and no edge."""
+    return F.array_sort(F.array_intersect(a, b))
+
+
+def answer(result: DataFrame, files: DataFrame, sharded: DataFrame, supported: bool = True) -> DataFrame:
+    """One row about a mode's result (resolution where it has edges, truncated where it is capped) over files (id) with
+    their shards (id, complete): status, rows, and notices, sorted. A file without a shard, an incomplete shard or a budget
+    make it partial; without a graph projection it is unsupported."""
+    none = F.lit(False)
+    cut = F.coalesce(F.bool_or("truncated"), none) if "truncated" in result.columns else none
+    candidate = F.coalesce(F.bool_or(F.col("resolution") == "candidate"), none) if "resolution" in result.columns else none
+    told = result.agg(F.count(F.lit(1)).alias("rows"), cut.alias("cut"), candidate.alias("candidate"))
+    s = files.select("id").join(sharded.select("id", "complete"), "id", "left").agg(F.coalesce(F.bool_or(F.col("complete").isNull()), none).alias("lost"), F.coalesce(F.bool_or(~F.col("complete")), none).alias("part"))
+    marks = [("cut", "BUDGET"), ("candidate", "CANDIDATE_TARGET"), ("lost", "MISSING_SHARD")]
+    notes = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in marks])))
+    if not supported:
+        notes = F.array(F.lit("UNSUPPORTED_VIEW"))
+    state = F.when(F.lit(not supported), "unsupported").when(F.col("cut") | F.col("lost") | F.col("part"), "partial").otherwise("complete")
+    return told.crossJoin(s).select(state.alias("status"), F.when(F.lit(supported), F.col("rows")).otherwise(0).alias("rows"), notes.alias("notices"))
+
+
+def structures(counts: DataFrame, max_nodes: int = 200, max_edges: int = 5000) -> DataFrame:
+    """(file_id, nodes, edges, stopped) of files (file_id, nodes, edges selected in each) taken in order of id while both
+    budgets, shared by all files, last; the file that uses one up is the last, cut to what was left, and says so."""
+    n = min(max_nodes, max_edges) + 1  # each file that counts uses at least a node
+    top = counts.filter("nodes > 0").orderBy("file_id").limit(max(n, max_nodes + 1))
+    before = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
+    left = top.withColumns({"ln": max_nodes - F.coalesce(F.sum("nodes").over(before), F.lit(0)), "le": max_edges - F.coalesce(F.sum("edges").over(before), F.lit(0))})
+    kept = left.filter("ln > 0 and le > 0").withColumns({"n": F.least("nodes", "ln"), "e": F.least("edges", "le")})
+    stopped = (F.col("ln") - F.col("n") <= 0) | (F.col("le") - F.col("e") <= 0)
+    return kept.select("file_id", F.col("n").alias("nodes"), F.col("e").alias("edges"), stopped.alias("stopped"))
 
 
 def resolve_references(references: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -97,3 +97,20 @@ def exclusion(path: Column, content: Column, size: Column, rules: list[tuple[str
         .when(F.contains(content, F.char(F.lit(0))), "binary")
         .when(suspicious(content), "secret")
     )
+
+
+def revalidated(files: DataFrame, max_bytes: int = 2 << 20) -> DataFrame:
+    """(path, problem) of a captured snapshot's files (path, content, size, language, blob_id) that a publisher must refuse,
+    the first reason of each: paths that are unsafe, repeated, sensitive or in a hidden store; configuration files; sizes,
+    content, language or digest that are not what the file says."""
+    from .projects import config_kind
+
+    low = F.col("path")
+    n = files.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    size = F.octet_length(F.coalesce("content", F.lit("")))
+    problem = (
+        F.when(~portable_path(low), "unsafe_path").when(F.col("n") > 1, "repeated").when(sensitive_path(low), "sensitive_name").when(config_kind(low) != "", "config").when(low.rlike(r"^\.git/"), "git")
+        .when((size > max_bytes) | (F.col("size") != size), "size").when(F.contains(F.col("content"), F.char(F.lit(0))), "binary").when(suspicious(F.col("content")), "secret")
+        .when(F.col("language") != language(low), "language").when(F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256) != F.col("blob_id"), "digest")
+    )
+    return files.join(n, "path").select("path", problem.alias("problem")).filter("problem is not null").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,14 +146,12 @@ def dependency_edges(spark: SparkSession, dependencies: dict[str, list[str]] = D
 
 
 def downstream(spark: SparkSession, changed: list[str], dependencies: dict[str, list[str]] = DEPENDENCIES) -> DataFrame:
-    """(family): the changed families and everything that depends on them, by a recursive query."""
-    dependency_edges(spark, dependencies).createOrReplaceTempView("projection_edges")
-    listed = ", ".join(f"('{c}')" for c in changed)
-    return spark.sql(
-        f"WITH RECURSIVE hit(family, level) AS (SELECT col1, 0 FROM VALUES {listed} UNION ALL"
-        " SELECT e.family, h.level + 1 FROM hit h JOIN projection_edges e ON e.source = h.family WHERE h.level < 16)"
-        " SELECT DISTINCT family FROM hit"
-    )
+    """(family): the changed families and everything that depends on them, however far; the registry is configuration."""
+    hit = set(changed)
+    for f in topological_order(dependencies):
+        if hit & set(dependencies[f]):
+            hit.add(f)
+    return spark.createDataFrame([(f,) for f in sorted(hit)], "family string")
 
 
 def chained_fingerprints(dependencies: dict[str, list[str]] = DEPENDENCIES, versions: dict[str, str] | None = None) -> dict[str, str]:
@@ -205,10 +204,6 @@ def risk_breakdown(values: DataFrame, key: str) -> DataFrame:
 # --- types ------------------------------------------------------------------------------------------
 
 
-def repeated_types(types: DataFrame) -> DataFrame:
-    return types.groupBy("id", "project_id", "profile_id", "version_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
 def type_lookup(types: DataFrame, names: DataFrame, project: str | None = None, profile: str | None = None, version: str | None = None) -> DataFrame:
     """(query, status, n, first_id): exact, ambiguous or not_found for each asked name, simple or qualified, in scope."""
     for c, v in (("project_id", project), ("profile_id", profile), ("version_id", version)):
@@ -221,13 +216,55 @@ def type_lookup(types: DataFrame, names: DataFrame, project: str | None = None,
     return out.select("query", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n"), "first_id")
 
 
+#: What is counted of a type: the counter, and the member kind whose rows it counts.
+MEMBER_KINDS = {
+    "fields": "field", "properties": "property", "methods": "method", "constructors": "constructor", "constants": "constant", "enum_members": "enum_member",
+}
+#: What is added up over a type's members, where members state it.
+MEMBER_SUMS = ("parameters", "returns", "generic_parameters", "occurrences", "attributes")
+
+
 def member_counts(members: DataFrame) -> DataFrame:
-    """(type_id, fields, properties, methods, enum_members, parameters, attributes) of member rows (type_id, kind,
-    parameters, attributes), attributes of parameters included where given."""
-    kinds = {"fields": "field", "properties": "property", "methods": "method", "enum_members": "enum_member"}
-    return members.groupBy("type_id").agg(
-        *[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()], F.sum("parameters").alias("parameters"), F.sum("attributes").alias("attributes")
-    )
+    """(type_id and eleven counters) of member rows (type_id, kind, and of MEMBER_SUMS the columns there are, nested ones
+    included): rows by kind, and sums; what no member states counts as zero, which proves nothing absent."""
+    sums = [(F.coalesce(F.sum(c), F.lit(0)) if c in members.columns else F.lit(0)).cast("bigint").alias(c) for c in MEMBER_SUMS]
+    return members.groupBy("type_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in MEMBER_KINDS.items()], *sums)
+
+
+def type_problems(types: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, problem) of types (id, name, project_id, layout, evidence) and members (type_id, id): no identity, no name, a
+    member without identity or with one that the type has twice, layout without evidence, a repeated type."""
+    t = types.select("id", F.when(F.coalesce("id", F.lit("")) == "", "identity").when(F.coalesce("name", F.lit("")) == "", "name").when(F.col("layout").isNotNull() & F.col("evidence").isNull(), "layout").alias("problem"))
+    m = members.groupBy("type_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    blank = m.filter(F.coalesce("id", F.lit("")) == "").select(F.col("type_id").alias("id"), F.lit("member identity").alias("problem"))
+    twice = m.filter((F.coalesce("id", F.lit("")) != "") & (F.col("n") > 1)).select(F.col("type_id").alias("id"), F.lit("repeated member").alias("problem"))
+    again = types.groupBy("id", "project_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("repeated type").alias("problem"))
+    return t.filter("problem is not null").unionByName(blank).unionByName(twice).unionByName(again).distinct()
+
+
+#: The valid form of identities that callers choose.
+CATALOG_ID = "^[A-Za-z0-9][A-Za-z0-9_-]{0,127}$"
+
+
+def definition_problems(definitions: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(id, problem) of project definitions (id, workspace, name, description, roots: array<string> of repositories)
+    against repositories (id, workspace): identity, sizes, unknown or foreign repositories."""
+    own = F.when(~F.coalesce(F.col("id").rlike(CATALOG_ID), F.lit(False)), "identity").when(F.size("roots") > 128, "roots").when(F.length("name") > 256, "name").when(F.length("description") > 8192, "description")
+    first = definitions.select("id", own.alias("problem")).filter("problem is not null")
+    each = definitions.select("id", "workspace", F.explode(F.array_distinct("roots")).alias("r"))
+    r = repositories.select(F.col("id").alias("r"), F.col("workspace").alias("w"))
+    second = each.join(r, "r", "left").select("id", F.when(F.col("w").isNull(), "unknown repository").when(F.col("w") != F.col("workspace"), "foreign repository").alias("problem")).filter("problem is not null")
+    return first.unionByName(second).distinct()
+
+
+def compare_and_set(there: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(definitions after, ids refused) of definitions (id, version, body) and changes (id, expected, body): a change counts
+    if the stored version is the one expected (null: none stored); of several for one id the first by body."""
+    one = changes.groupBy("id").agg(F.min(F.struct(F.col("body").alias("b"), F.col("expected").alias("e"))).alias("c")).select("id", F.col("c.b").alias("new"), F.col("c.e").alias("expected"))
+    j = there.select("id", "version", "body").join(one.withColumn("asked", F.lit(True)), "id", "full")
+    good = F.coalesce("asked", F.lit(False)) & F.col("version").eqNullSafe(F.col("expected"))
+    after = j.filter(good | F.col("version").isNotNull()).select("id", F.when(good, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).alias("version"), F.when(good, F.col("new")).otherwise(F.col("body")).alias("body"))
+    return after, j.filter(F.coalesce("asked", F.lit(False)) & ~good).select("id")
 
 
 def constant_groups(constants: DataFrame) -> DataFrame:
@@ -253,21 +290,23 @@ def config_kind(path: Column) -> Column:
     )
 
 
-def json_keys(rows: DataFrame, id_column: str, json_column: str, depth: int = 8) -> DataFrame:
+def json_keys(rows: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """(id, name): key paths of JSON texts as a.b, a[] for elements; keys that aren't safe names are not descended into.
-    Values never appear. Invalid JSON has no keys. Level by level over VARIANT."""
+    Values never appear. Invalid JSON has no keys. Level by level over VARIANT, until a level holds nothing to descend
+    into."""
     now = rows.select(F.col(id_column).alias("id"), F.lit("").alias("name"), F.try_parse_json(json_column).alias("v")).filter("v is not null")
     every = None
-    for _ in range(depth):
-        now.createOrReplaceTempView("json_level")
-        spark = rows.sparkSession
-        step = spark.sql(
+    view = f"json_level_{uuid.uuid4().hex}"
+    while every is None or not now.isEmpty():
+        now.createOrReplaceTempView(view)
+        step = rows.sparkSession.sql(
             "SELECT j.id, CASE WHEN e.key IS NULL THEN concat(j.name, '[]') WHEN j.name = '' THEN e.key ELSE concat(j.name, '.', e.key) END AS name,"
-            f" e.value AS v, e.key AS k FROM json_level j, LATERAL variant_explode(j.v) e WHERE e.key IS NULL OR e.key RLIKE '{SAFE_KEY}'"
+            f" e.value AS v, e.key AS k FROM {view} j, LATERAL variant_explode(j.v) e WHERE e.key IS NULL OR e.key RLIKE '{SAFE_KEY}'"
         )
         keys = step.filter("k is not null").select("id", "name")
         every = keys if every is None else every.unionByName(keys)
         now = step.select("id", "name", "v").filter("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'")
+    rows.sparkSession.catalog.dropTempView(view)
     return every.distinct()
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import hashlib
 import math
+import textwrap
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.folding import tokens
+from ..session import importable
 
 K1, B, RRF_K = 1.2, 0.75, 60
 CHANNEL_CUT = RERANK_CUT = 100
@@ -33,9 +37,9 @@ def bm25(chunks: DataFrame, query: str, k1: float = K1, b: float = B, limit: int
     """(id, score, rank): chunks with text, by header and text; a term repeated in the query counts each time.
 
     One pass over the text: a chunk's length and its counts of the query's terms are computed where it is read, and
-    only those small rows take part in the two aggregates (document frequencies, mean length).
+    dealt out by id; statistics and scores both read that one exchange of small rows.
     """
-    if not (math.isfinite(k1) and k1 > 0 and 0 <= b <= 1) or len(query.encode()) > 8192 or len(projects or ()) > 128:
+    if not (math.isfinite(k1) and k1 > 0 and 0 <= b <= 1) or len(query.encode()) > 8192 or len(projects or ()) > 128 or len(set(projects or ())) < len(projects or ()):
         raise ValueError("k1, b, query or scope out of bounds")
     spark = chunks.sparkSession
     wanted = Counter(query_tokens(spark, query))
@@ -50,7 +54,7 @@ def bm25(chunks: DataFrame, query: str, k1: float = K1, b: float = B, limit: int
 
     # The token array is used many times, so it is computed once, behind the generator.
     once = docs.select("id", F.explode(F.array(toks)).alias("toks"))
-    tf = once.select("id", F.size("toks").alias("dl"), *[counter(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    tf = once.select("id", F.size("toks").alias("dl"), *[counter(t).alias(f"tf{i}") for i, t in enumerate(terms)]).repartition("id")
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i, t in enumerate(terms):
@@ -59,7 +63,7 @@ def bm25(chunks: DataFrame, query: str, k1: float = K1, b: float = B, limit: int
         part = idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         score = score + F.when(f > 0, part * wanted[t]).otherwise(0.0)
     # One row of statistics: the cross join is with a single row.
-    scored = tf.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+    scored = tf.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
     return ranked(scored.filter("score > 0"), limit)
 
 
@@ -84,6 +88,39 @@ def structure_hash(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.regexp_replace(text, r"[0-9]+", "0"), r"\s+", " ").cast("binary"), 256)
 
 
+def ast_shape(text: str | None) -> str | None:
+    """The shape of Python source: its syntax tree without positions, comments and literal values, with names, operators
+    and the kinds of literals; a chunk that does not parse is tried as the body of a function, then of a class. Null where
+    nothing parses. Equal shapes are candidates, not proof of equal behaviour."""
+
+    def encoded(node) -> str:
+        if isinstance(node, ast.Constant):
+            return f"Constant<{type(node.value).__name__}>"
+        if isinstance(node, ast.AST):
+            return f"{type(node).__name__}({','.join(encoded(v) for k, v in ast.iter_fields(node) if k not in ('type_comment', 'type_ignores', 'kind'))})"
+        return f"[{','.join(map(encoded, node))}]" if isinstance(node, list) else repr(node)
+
+    body = textwrap.dedent(text or "")
+    inside = textwrap.indent(body, " ")
+    for source in (body, f"def _():\n{inside}", f"class _:\n{inside}"):
+        try:
+            return hashlib.sha256(encoded(ast.parse(source)).encode()).hexdigest()
+        except (SyntaxError, ValueError, RecursionError):
+            continue
+    return None
+
+
+def ast_groups(chunks: DataFrame) -> DataFrame:
+    """(shape, n, first_id): syntax shapes that two or more chunks (id, text) of Python source share."""
+
+    @F.pandas_udf("string")
+    def shape(texts):
+        return texts.map(ast_shape)
+
+    shapes = importable(chunks).select("id", shape("text").alias("shape")).filter("shape is not null")
+    return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
+
+
 def structural_groups(chunks: DataFrame) -> DataFrame:
     """(shape, n, first_id): shapes that two or more chunks share."""
     return chunks.select("id", structure_hash(F.col("text")).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
@@ -109,6 +146,15 @@ def cosine_top(vectors: DataFrame, query: list[float], limit: int = 20) -> DataF
     return ranked(scored, limit)
 
 
+def record_rank(records: DataFrame, query: list[float], view_id: str, profile: str, distance: str = "cosine", limit: int = 20) -> DataFrame:
+    """cosine_top over the ready records (id, view_id, profile, dimension, distance, completeness, vector) of a view and
+    profile; a ready record of another dimension or distance than the query's raises when the plan runs."""
+    mine = records.filter((F.col("view_id") == view_id) & (F.col("profile") == profile) & (F.col("completeness") == "ready"))
+    fits = (F.col("dimension") == len(query)) & (F.size("vector") == F.col("dimension")) & (F.col("distance") == distance)
+    checked = mine.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("record does not fit the query: "), "id")).cast("boolean")))
+    return cosine_top(checked, query, limit)
+
+
 def fuse(channels: dict[str, DataFrame], k: int = RRF_K, limit: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of (id, rank) channels: one contribution per id and channel, the best; provenance kept."""
     parts = [c.select("id", F.lit(name).alias("channel"), "rank") for name, c in channels.items()]

@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import querylang as q
 from ..functions.folding import fold, fold_text
 from ..session import importable
+from ..sources.files import get
 
 MAX_QUERY_BYTES, MAX_LIMIT, DEFAULT_LIMIT, MAX_PROJECTS = 8192, 1000, 100, 128
 MAX_RANGES = 1000
@@ -105,27 +108,64 @@ def _evaluate(tree, row: dict, case_sensitive: bool, mode: str | None) -> tuple[
     return fits(value.rsplit("/", 1)[-1] if tree.field == "file" else value), []
 
 
+def _byte_places(body: str):
+    """code point offset → UTF-8 byte offset of a text, by one pass over it."""
+    if body.isascii():
+        return lambda i: i
+    points = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))).tolist()
+    return ends.__getitem__
+
+
 def with_ranges(files: DataFrame, text: str, case_sensitive: bool = False, mode: str | None = None, most: int = MAX_RANGES) -> DataFrame:
-    """Matched files plus ranges (UTF-8 byte offsets, sorted, distinct, at most `most`) and ranges_truncated."""
+    """Matched files plus ranges (UTF-8 byte offsets, sorted, distinct, the first `most`) and ranges_truncated. One engine
+    decides both what matches and where; a file's columns pass through beside its ranges, so files that share an id stay
+    apart."""
     tree = q.parse(text)
+    names = ["id", "path", "content", "project_ids", "repository_id", "language", "test", "generated", "symbols"]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            out = []
-            for row in df.to_dict("records"):
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, ranges, cut = [], [], []
+            for row in batch.select(names).to_pylist():
                 ok, found = _evaluate(tree, row, case_sensitive, mode)
+                hits.append(ok)
                 if not ok:
                     continue
-                body = row["content"] or ""
-                size = (lambda i: i) if body.isascii() else (lambda i, b=body: len(b[:i].encode()))
-                kept = found[:most]
-                ranges = sorted({(-1 - a, -1 - z) if a < 0 else (size(a), size(z)) for a, z in kept})
-                out.append((row["id"], [{"start": a, "end": z} for a, z in ranges], len(found) > most))
-            yield pd.DataFrame(out, columns=["id", "ranges", "ranges_truncated"])
+                size = _byte_places(row["content"] or "")
+                every = sorted({(-1 - a, -1 - z) if a < 0 else (size(a), size(z)) for a, z in found})
+                ranges.append([{"start": a, "end": z} for a, z in every[:most]])
+                cut.append(len(every) > most)
+            kept = batch.filter(pa.array(hits, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ranges, kind), pa.array(cut, pa.bool_())], names=[*batch.schema.names, "ranges", "ranges_truncated"])
+
+    schema = StructType([*files.schema.fields, *spark_fields("ranges array<struct<start:bigint,end:bigint>>, ranges_truncated boolean")])
+    return importable(files).mapInArrow(spans, schema)
+
+
+def spark_fields(ddl: str) -> list:
+    return StructType.fromDDL(ddl).fields
+
 
-    slim = files.select("id", "path", "content", "project_ids", "repository_id", "language", "test", "generated", "symbols")
-    found = importable(slim).filter(q.predicate(tree, case_sensitive, mode)).mapInPandas(spans, "id string, ranges array<struct<start:bigint,end:bigint>>, ranges_truncated boolean")
-    return files.join(found, "id")
+def file(files: DataFrame, file_id: str) -> DataFrame:
+    """One file of a view; an id that is not there raises when the plan runs."""
+    return get(files, "id", file_id)
+
+
+def scan_complete(files: DataFrame, max_files: int = 100_000, max_bytes: int = 256 << 20) -> DataFrame:
+    """One row (files, bytes, complete): whether a scan within the budgets sees all files; sums alone, without an order."""
+    sums = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length(F.coalesce("content", F.lit("")))), F.lit(0)).alias("bytes"))
+    return sums.withColumn("complete", (F.col("files") <= max_files) & (F.col("bytes") <= max_bytes))
+
+
+def highlights(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(id, line, from, to): byte ranges (id, start, end) cut to the lines they touch, as offsets within the line; ranges
+    of no width and line feeds mark nothing."""
+    l, r = lines(files).alias("l"), ranges.alias("r")
+    hit = (F.col("r.id") == F.col("l.id")) & (F.col("r.start") < F.col("l.end")) & (F.col("r.end") > F.col("l.start"))
+    low, high = F.greatest("r.start", "l.start") - F.col("l.start"), F.least("r.end", "l.end") - F.col("l.start")
+    return r.join(l, hit).select("l.id", "l.line", low.alias("from"), high.alias("to")).distinct()
 
 
 # --- trigrams ---------------------------------------------------------------------------------------
@@ -157,6 +197,11 @@ def candidates(index: DataFrame, literal: str) -> DataFrame:
     return index.filter(F.col("trigram").isin(grams)).groupBy("id").agg(F.countDistinct("trigram").alias("n")).filter(F.col("n") == len(grams)).select("id").distinct()
 
 
+def regex_candidates(index: DataFrame, pattern: str) -> DataFrame:
+    """Ids of files that a regular expression may match, by the longest text that its matches must contain."""
+    return candidates(index, required_literal(pattern))
+
+
 def required_literal(pattern: str) -> str:
     """The longest text every match of a regular expression contains; empty where there is none."""
     import re._constants as rc

@@ -107,6 +107,50 @@ def report_problems(reports: DataFrame, sizes: DataFrame) -> DataFrame:
     return ranged.select("file_id", problem.alias("problem")).filter("problem is not null")
 
 
+def report_agreement(files: DataFrame, reports: DataFrame) -> DataFrame:
+    """(file_id, problem): reports (file_id, language, digest) without a file (id, language, content), of another language,
+    or of other content, and files without a report."""
+    f = files.select(F.col("id").alias("file_id"), F.col("language").alias("l"), F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("d"))
+    j = f.join(reports.select("file_id", "language", "digest"), "file_id", "full")
+    problem = F.when(F.col("d").isNull(), "no file").when(F.col("digest").isNull(), "no report").when(F.col("l") != F.col("language"), "language").when(F.col("d") != F.col("digest"), "content")
+    return j.select("file_id", problem.alias("problem")).filter("problem is not null")
+
+
+def type_expression(text: Column) -> Column:
+    """struct(kind, element) of a type expression's text: pointer, slice, array, map, channel, struct, interface, function,
+    variadic, instantiation or named; element is what is pointed to, held, sent or repeated, null for the others.
+    Parentheses around the whole are passed over."""
+    t = F.trim(F.regexp_replace(F.trim(text), r"^\((.*)\)$", "$1"))
+    rules = [
+        ("pointer", r"^\*\s*(.+)$"), ("variadic", r"^\.\.\.\s*(.+)$"), ("slice", r"^\[\s*\]\s*(.+)$"), ("array", r"^\[[^\[\]]+\]\s*(.+)$"), ("channel", r"^(?:<-\s*)?chan\b(?:\s*<-)?\s*(.+)$"),
+    ]
+    whole = [("map", r"^map\s*\["), ("struct", r"^struct\b"), ("interface", r"^interface\b"), ("function", r"^func\b"), ("instantiation", r"^[\p{L}_][\p{L}\p{Nd}_.]*\s*\[.+\]$")]
+    kind, element = F.lit("named"), F.lit(None).cast("string")
+    for name, pattern in reversed(whole):
+        kind = F.when(t.rlike(pattern), name).otherwise(kind)
+    for name, pattern in reversed(rules):
+        kind, element = F.when(t.rlike(pattern), name).otherwise(kind), F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1)).otherwise(element)
+    return F.struct(kind.alias("kind"), element.alias("element"))
+
+
+def members(reports: DataFrame) -> DataFrame:
+    """(file_id, type_id, id, kind, name, visibility, parameters, attributes) of the declarations directly in a class-like
+    one: field, property, method, constructor or enum_member, whatever a parser's own name for it is."""
+    s = reports.select("file_id", F.explode("symbols").alias("s"))
+    owners = s.filter(F.col("s.kind").isin([k for k, v in CHUNK_KIND.items() if v == "type"])).select("file_id", F.col("s.id").alias("type_id"), F.col("s.kind").alias("owner"))
+    s = s.withColumn("type_id", F.col("s.parent_id"))
+    given = F.col("s.kind")
+    kind = (
+        F.when(given.isin("constructor") | F.col("s.name").isin("__init__", "constructor"), "constructor").when(given.isin("method", "function"), "method").when(given.isin("property", "accessor"), "property")
+        .when(given.isin("enum_member", "enumerator") | ((F.col("owner") == "enum") & given.isin("constant", "field", "variable")), "enum_member").when(given.isin("field", "variable", "attribute", "constant"), "field")
+    )
+    sight = F.when(F.col("s.visibility").isin("public", "protected", "private", "internal"), F.col("s.visibility")).when(F.startswith(F.col("s.name"), F.lit("_")), "private").otherwise("unknown")
+    out = s.join(owners, ["file_id", "type_id"]).select(
+        "file_id", "type_id", F.col("s.id").alias("id"), kind.alias("kind"), F.col("s.name").alias("name"), sight.alias("visibility"), F.size("s.parameters").alias("parameters"), F.size("s.attributes").alias("attributes")
+    )
+    return out.filter("kind is not null")
+
+
 def query(reports: DataFrame, name: str, passes: int = 32) -> DataFrame:
     """Reports with the declarations of that name and all below them, and the references that have the name, which is no
     claim that they resolve to it; files without such a declaration are left out."""

@@ -83,12 +83,12 @@ _COSINE = "CAST(list_sum(list_transform(list_zip(e.embedding, q.embedding), lamb
 
 
 @query(
-    f"""WITH s AS (SELECT lpad(CAST(e.vec_id AS VARCHAR), 8, '0') AS id, round(CAST({_COSINE} AS DOUBLE), 4) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0)
-SELECT id, score FROM s ORDER BY score DESC, id LIMIT 20"""
+    f"""WITH s AS (SELECT lpad(CAST(e.vec_id AS VARCHAR), 8, '0') AS id, {_COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0)
+SELECT id, round(CAST(score AS DOUBLE), 4) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20"""
 )
 def cosine_topk(spark, sf_dir):
-    found = rank.cosine_top(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 200)
-    return found.select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    found = rank.cosine_top(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20)
+    return found.select("id", F.round("score", 4).alias("score"), "rank")
 
 
 _TOP = _bm25_sql(["the", "nation"], "TRUE", 100)
@@ -391,7 +391,7 @@ def sensitive_paths(spark, sf_dir):
 
 @query("SELECT event_id AS id, unnest(json_keys(props)) AS name FROM events")
 def config_keys_json(spark, sf_dir):
-    return projects.json_keys(table(spark, sf_dir, "events"), "event_id", "props", 2)
+    return projects.json_keys(table(spark, sf_dir, "events"), "event_id", "props")
 
 
 # --- graph ------------------------------------------------------------------------------------------
@@ -440,21 +440,21 @@ def graph_neighbors(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE {_G}, h AS (SELECT 'r:1' AS path, 'r:1' AS node, 0 AS length UNION ALL SELECT h.path || '>' || e.t, e.t, h.length + 1 FROM h JOIN e ON e.s = h.node
-WHERE h.length < 4 AND h.node <> 's:3' AND e.kind <> 'references' AND NOT list_contains(string_split(h.path, '>'), e.t))
+WHERE h.length < 4 AND h.node <> 's:3' AND NOT list_contains(string_split(h.path, '>'), e.t))
 SELECT path, length FROM h WHERE node = 's:3' ORDER BY length, path LIMIT 100"""
 )
 def graph_paths(spark, sf_dir):
     _, edges = graph(spark, sf_dir)
-    return graphs.paths(edges.filter("kind <> 'references'"), "r:1", "s:3", 4)
+    return graphs.paths(edges, "r:1", "s:3", 4).select("path", "length")
 
 
 @query(
-    f"""WITH RECURSIVE {_G}, h AS (SELECT id AS root, id, 0 AS depth FROM n WHERE kind = 'package' AND id LIKE 'r:%' UNION SELECT h.root, e.t, h.depth + 1 FROM h JOIN e ON e.s = h.id AND e.kind = 'contains' WHERE h.depth < 4)
-SELECT root, id, min(depth) AS depth FROM h GROUP BY root, id"""
+    f"""WITH RECURSIVE {_G}, h AS (SELECT id AS root, id, 0 AS depth FROM n WHERE kind = 'package' AND id LIKE 'r:%' UNION SELECT h.root, e.t, h.depth + 1 FROM h JOIN e ON e.s = h.id AND e.kind = 'contains' WHERE h.depth < 2)
+SELECT root, id, min(depth) AS depth, min(depth) = 2 AND max(coalesce(k.s, '')) <> '' AS cut FROM h LEFT JOIN (SELECT DISTINCT s FROM e WHERE kind = 'contains') k ON k.s = h.id GROUP BY root, id"""
 )
 def graph_descendants(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
-    return graphs.descendants(edges, nodes.filter("id like 'r:%'"), 4)
+    return graphs.descendants(edges, nodes.filter("id like 'r:%'"), 2)
 
 
 @query(f"WITH {_G}, k AS (SELECT id FROM n WHERE p IN ('geo', 'supply')) SELECT e.kind || '|' || s || '|' || t AS id FROM e WHERE s IN (SELECT id FROM k) AND t IN (SELECT id FROM k)")
@@ -488,13 +488,13 @@ def graph_completeness(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT p_type AS name, count(*) AS n, min('p:' || p_partkey) AS t FROM part WHERE p_size = 7 GROUP BY p_type)
+    """WITH d AS (SELECT p_type AS name, count(*) AS n, min('p:' || p_partkey) AS t FROM part GROUP BY p_type)
 SELECT 'x:' || p_partkey AS id, p_type AS name, CASE WHEN n = 1 THEN t END AS target_id, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'exact' ELSE 'candidate' END AS resolution FROM part LEFT JOIN d ON d.name = p_type"""
 )
 def resolve_references(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     refs = p.select(F.concat(F.lit("x:"), "p_partkey").alias("id"), F.col("p_type").alias("name"))
-    return graphs.resolve_references(refs, p.filter("p_size = 7").select(F.col("p_type").alias("name"), F.concat(F.lit("p:"), "p_partkey").alias("id")))
+    return graphs.resolve_references(refs, p.select(F.col("p_type").alias("name"), F.concat(F.lit("p:"), "p_partkey").alias("id")))
 
 
 # --- parsed source ----------------------------------------------------------------------------------
@@ -559,11 +559,12 @@ def type_lookup(spark, sf_dir):
 
 @query(
     """SELECT l_partkey AS type_id, count(*) FILTER (l_returnflag = 'N') AS fields, count(*) FILTER (l_returnflag = 'R') AS properties, count(*) FILTER (l_returnflag = 'A') AS methods,
-CAST(0 AS BIGINT) AS enum_members, CAST(sum(l_linenumber) AS BIGINT) AS parameters, CAST(sum(l_suppkey % 3) AS BIGINT) AS attributes FROM lineitem GROUP BY l_partkey"""
+CAST(0 AS BIGINT) AS constructors, CAST(0 AS BIGINT) AS constants, CAST(0 AS BIGINT) AS enum_members, CAST(sum(l_linenumber) AS BIGINT) AS parameters, CAST(sum(l_suppkey % 2) AS BIGINT) AS returns,
+CAST(sum(l_suppkey % 5) AS BIGINT) AS generic_parameters, CAST(0 AS BIGINT) AS occurrences, CAST(sum(l_suppkey % 3) AS BIGINT) AS attributes FROM lineitem GROUP BY l_partkey"""
 )
 def type_member_counts(spark, sf_dir):
     kind = F.when(F.col("l_returnflag") == "N", "field").when(F.col("l_returnflag") == "R", "property").otherwise("method")
-    members = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("type_id"), kind.alias("kind"), F.col("l_linenumber").alias("parameters"), (F.col("l_suppkey") % 3).alias("attributes"))
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("type_id"), kind.alias("kind"), F.col("l_linenumber").alias("parameters"), (F.col("l_suppkey") % 3).alias("attributes"), (F.col("l_suppkey") % 2).alias("returns"), (F.col("l_suppkey") % 5).alias("generic_parameters"))
     return projects.member_counts(members)
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import subprocess
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import policy
+from ..session import importable
 
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -125,32 +128,123 @@ def view_files(refs: DataFrame, blobs: DataFrame, symbols: DataFrame) -> DataFra
 
 
 def publish(spark: SparkSession, base: str, view_id: str, tables: dict[str, DataFrame], expected_head: str | None) -> None:
-    """Writes a view's tables under its id and then moves the head, if the head is still the expected one. A view that
-    is there is never rewritten, so publishing again is idempotent; readers follow the head and never see a part."""
-    if head(spark, base) != expected_head:
+    """Writes a view's tables under its id and then moves the head, if the head is still the expected one.
+
+    A table is written to a staging folder and renamed into place, so a view's folder is whole or not there. A view that is
+    there is never rewritten: publishing the same rows again is idempotent, other rows raise. The head is a chain of
+    numbered files, and a number can be created once only, so of two publishers that expect the same head one fails.
+    """
+    found, seq = _head(spark, base)
+    if found != expected_head:
         raise RuntimeError("the head has moved")
+    fs, path = _filesystem(spark, base)
     for name, df in tables.items():
-        df.write.mode("ignore").parquet(f"{base}/{name}/view_id={view_id}")
-    seq = spark.createDataFrame([(view_id, 1 + _sequence(spark, base))], "view_id string, seq bigint")
-    seq.coalesce(1).write.mode("append").parquet(f"{base}/_head")
-
-
-def _heads(spark: SparkSession, base: str) -> DataFrame:
+        target, staged = f"{base}/{name}/view_id={view_id}", f"{base}/_staging/{uuid.uuid4().hex}"
+        if not fs.exists(path(target)):
+            df.write.parquet(staged)
+            fs.mkdirs(path(f"{base}/{name}"))
+            if not fs.exists(path(target)) and fs.rename(path(staged), path(target)):
+                continue
+            fs.delete(path(staged), True)
+        there = spark.read.schema(df.schema).parquet(target)
+        if not there.exceptAll(df).isEmpty() or not df.exceptAll(there).isEmpty():
+            raise RuntimeError(f"view {view_id} is there with other rows")
+    if found == view_id:
+        return
     try:
-        return spark.read.parquet(f"{base}/_head")
+        out = fs.create(path(f"{base}/_head/{seq + 1:012d}"), False)
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "view_id string, seq bigint")
+        raise RuntimeError("the head has moved") from e
+    out.write(view_id.encode())
+    out.close()
+
+
+def _filesystem(spark: SparkSession, base: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(base).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
 
+def _head(spark: SparkSession, base: str) -> tuple[str | None, int]:
+    """(the latest view's id, its number); a number whose file is still empty is being written and does not count yet."""
+    fs, path = _filesystem(spark, base)
+    if not fs.exists(path(f"{base}/_head")):
+        return None, 0
+    rows = spark.read.text(f"{base}/_head", wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]{12})$", 1).cast("long").alias("seq"))
+    last = latest(rows.withColumnRenamed("value", "view_id")).first()
+    return (last["view_id"], last["seq"]) if last and last["seq"] else (None, 0)
 
-def _sequence(spark: SparkSession, base: str) -> int:
-    return _heads(spark, base).agg(F.max("seq")).first()[0] or 0
+
+def latest(heads: DataFrame) -> DataFrame:
+    """One row of (view_id, seq): the view with the highest number."""
+    return heads.agg(F.max_by("view_id", "seq").alias("view_id"), F.max("seq").alias("seq"))
 
 
 def head(spark: SparkSession, base: str) -> str | None:
     """The latest view's id."""
-    return _heads(spark, base).agg(F.max_by("view_id", "seq")).first()[0]
+    return _head(spark, base)[0]
+
+
+def artifacts(spark: SparkSession, base: str, name: str, view_id: str) -> DataFrame:
+    """A table of one view; the folder's partition is all that is read."""
+    return spark.read.parquet(f"{base}/{name}").filter(F.col("view_id") == view_id).drop("view_id")
+
+
+def get(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key; none, or more than one, raises when the plan runs."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())  # over the rows of one key
+    none = df.sparkSession.createDataFrame([(1,)], "__one int")
+    found = none.join(df.filter(F.col(key) == value).withColumn("__n", n), F.lit(True), "left")
+    return found.filter(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("not exactly one row")).cast("boolean"))).drop("__one", "__n")
+
+
+def upsert(there: DataFrame, new: DataFrame, key: str, create: bool = False) -> DataFrame:
+    """there with the rows of new put in by key; with create a key that is there raises."""
+    if create:
+        clash = new.join(there.select(key), key, "left_semi").limit(1)
+        if not clash.isEmpty():
+            raise ValueError(f"{key} exists")
+    return there.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def status_rows(outputs: DataFrame) -> DataFrame:
+    """(id, state, path, origin) of NUL-separated porcelain outputs (id, raw)."""
+
+    @F.pandas_udf("array<struct<state:string,path:string,origin:string>>")
+    def parsed(raw):
+        return raw.map(lambda r: [dict(zip(("state", "path", "origin"), x)) for x in parse_status(r.encode())])
+
+    return importable(outputs).select("id", F.explode(parsed("raw")).alias("s")).select("id", "s.*")
+
+
+def worktree_rows(outputs: DataFrame) -> DataFrame:
+    """(id, path, head, branch) of NUL-separated worktree outputs (id, raw)."""
+
+    @F.pandas_udf("array<struct<path:string,head:string,branch:string>>")
+    def parsed(raw):
+        return raw.map(lambda r: [{"path": w["path"], "head": w.get("head"), "branch": w.get("branch")} for w in parse_worktrees(r.encode())])
+
+    return importable(outputs).select("id", F.explode(parsed("raw")).alias("w")).select("id", "w.*")
+
+
+def bundle_states(bundles: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Spooled bundles (id, payload) with their state: ready, oversize, digest (not what the id says) or json (not JSON)."""
+    state = (
+        F.when(F.octet_length("payload") > max_bytes, "oversize").when(F.sha2(F.col("payload").cast("binary"), 256) != F.col("id"), "digest")
+        .when(F.try_parse_json("payload").isNull(), "json").otherwise("ready")
+    )
+    return bundles.withColumn("state", state)
+
+
+def load_bundle(bundles: DataFrame, bundle_id: str, max_bytes: int = 64 << 20) -> DataFrame:
+    """The payload of one bundle; one that is missing or not ready raises when the plan runs."""
+    one = bundle_states(get(bundles, "id", bundle_id), max_bytes)
+    ok = F.when(F.col("state") == "ready", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("bundle: "), "state")).cast("boolean"))
+    return one.filter(ok).drop("state")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, null fields kept."""
+    df.write.option("ignoreNullFields", "false").json(path)
 
 
 def page(df: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 GAP_MS, CAP_MS = 500, 2000
 LEASE_SECONDS, MAX_ATTEMPTS = 60, 5
+#: What may be told of a lease, the one that counts first.
+OUTCOMES = ["complete", "cancel", "fail", "heartbeat"]
 
 
 def debounced(signals: DataFrame, gap_ms: int = GAP_MS, cap_ms: int = CAP_MS) -> DataFrame:
@@ -63,11 +65,12 @@ def claim(jobs: DataFrame, now: int, owner: str, limit: int = 1) -> DataFrame:
 
 def apply_outcome(jobs: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
     """jobs after outcomes (id, owner, fence, outcome: heartbeat, complete, fail, cancel). An outcome counts only with the
-    job's owner and fence and an unexpired lease; a failure is retried after 2 ** min(attempts, 8) seconds, up to five
-    attempts."""
-    o = outcomes.select("id", F.col("owner").alias("o_owner"), F.col("fence").alias("o_fence"), "outcome")
-    j = jobs.join(o, "id", "left")
-    held = (F.col("status") == "running") & (F.col("owner") == F.col("o_owner")) & (F.col("fence") == F.col("o_fence")) & (F.col("lease_until") > now)
+    job's owner and fence and an unexpired lease; of several for one lease the first of complete, cancel, fail, heartbeat
+    counts; a failure is retried after 2 ** min(attempts, 8) seconds, up to five attempts. A job stays one row."""
+    first = F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome"))
+    o = outcomes.filter(F.col("outcome").isin(OUTCOMES)).groupBy("id", "owner", "fence").agg(F.min_by("outcome", first).alias("outcome"))
+    j = jobs.join(o, ["id", "owner", "fence"], "left")
+    held = (F.col("status") == "running") & (F.col("lease_until") > now)
     does = F.when(F.coalesce(held, F.lit(False)), F.col("outcome"))
     retry = (does == "fail") & (F.col("attempts") <= MAX_ATTEMPTS)
     status = F.when(does == "complete", "succeeded").when(does == "cancel", "cancelled").when(retry, "queued").when(does == "fail", "failed").otherwise(F.col("status"))
