@@ -16,8 +16,12 @@ numpy arrays in Parquet rows in the shared folder:
 
 Scale: a block pre-aggregates its counts, so a word or bigram that a third of all tokens have is one entry per
 block; a context with many tokens is dealt to several buckets by its next word, and the weights step adds them
-up. Blocks and buckets are of bounded size, whose numbers follow the corpus. The driver sees only counts of
-counts and totals.
+up. Blocks and buckets are of bounded size, their numbers follow the corpus, and so do the partitions they are
+dealt to, so a task's input does not grow. Messages are one row for a block and a bucket: their bytes follow the
+corpus, their number its square, which bounds the corpus that blocks and buckets of a given size suit; larger
+corpora need larger ones (both are parameters). The driver sees only counts of counts and totals.
+
+A text of any length is read whole; one longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -419,29 +423,29 @@ class Model:
         """rows: doc_id (long), train (boolean), text."""
         spark = rows.sparkSession
         self.hot = hot
-        slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.blocks = saved(rows.select("doc_id", "train", "text").mapInArrow(lambda it: _blocks(it, block_tokens), ROW), "uncompressed")
-        sizes = self.blocks.select(F.octet_length("b").cast("bigint").alias("b"), F.octet_length("a").cast("bigint").alias("a")).agg(F.sum("b"), F.sum("a")).first()
+        sizes = self.blocks.select(F.octet_length("b").cast("bigint").alias("b"), F.octet_length("a").cast("bigint").alias("a")).agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()
+        self.block_parts = parts = max(1, 2 * sizes[2])  # two a block, so that few blocks share a task
         # A compressed vocabulary takes about four bytes a word, token numbers about two a token.
         self.words = words = max(1, int((sizes[0] or 0) / 4 / bucket_words) + 1)
         self.buckets = buckets = max(1, int((sizes[1] or 0) / 2 * 0.7 / bucket_bigrams) + 1)
         sent = self.blocks.mapInArrow(lambda it: _send_words(it, words), ROW)
-        self.unigram_rows = saved(_per_key(sent, _sum_words, min(words, 4 * slots)), "uncompressed")
+        self.unigram_rows = saved(_per_key(sent, _sum_words, 2 * words), "uncompressed")
         tidy(spark)
         n, total, types = self._unigram_totals()
         self.unigrams, self.types = Unigrams(n, total) if total else Unigrams([0] * (CUT + 1), 0), types
         asked = self.unigram_rows.filter("kind = 2")
         by_block = self.blocks.unionByName(asked)
         hot_, uni = self.hot, self.unigrams
-        out = _per_key(by_block, _send_bigrams(words, buckets, hot_), 2 * slots)
-        self.bigram_rows = saved(_per_key(out, _sum_bigrams(uni), min(buckets, 4 * slots)), "uncompressed")
+        out = _per_key(by_block, _send_bigrams(words, buckets, hot_), parts)
+        self.bigram_rows = saved(_per_key(out, _sum_bigrams(uni), 2 * buckets), "uncompressed")
         tidy(spark)
         self.discount = discounts(self._bigram_tally())
         discount = self.discount
         # Word buckets get their own table, who asked (turned round), and the contexts' parts.
         turned = asked.select(F.col("sub").alias("key"), F.col("key").alias("sub"), "kind", "a", "b", "c")
         gathered = self.unigram_rows.filter("kind = 1").unionByName(turned).unionByName(self.bigram_rows.filter("kind = 4"))
-        self.weight_rows = saved(_per_key(gathered, _weigh(discount), min(words, 4 * slots)), "uncompressed")
+        self.weight_rows = saved(_per_key(gathered, _weigh(discount), 2 * words), "uncompressed")
         tidy(spark)
 
     def _unigram_totals(self) -> tuple[list[int], int, int]:
@@ -470,10 +474,8 @@ class Model:
 
     def scores(self) -> DataFrame:
         """(doc_id, held_out, n_tokens, n_known, base_score, score) of the documents of the blocks."""
-        spark = self.blocks.sparkSession
-        slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         every = self.blocks.unionByName(self.unigram_rows.filter("kind = 2")).unionByName(self.bigram_rows.filter("kind = 5")).unionByName(self.weight_rows)
-        ordered = every.repartition(2 * slots, "key").sortWithinPartitions("key", "kind", "sub")
+        ordered = every.repartition(self.block_parts, "key").sortWithinPartitions("key", "kind", "sub")
         return ordered.mapInArrow(_score(self.words, self.buckets, self.hot, self.unigrams, self.types, self.discount), SCORES_SQL)
 
 
@@ -481,8 +483,8 @@ def scored(docs: DataFrame, **sizes: int) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null, empty or blank text is its end alone. Without training rows every probability is that of the one unknown
-    word, 1. Null ids count as the empty text for the fold; rows that repeat keep a row each, and count as often; other
-    columns are ignored; an empty table gives no rows.
+    word, 1. Null ids count as the empty text for the fold; rows that repeat keep a row each, and count as often; very
+    long texts count whole; other columns are ignored; an empty table gives no rows.
     """
     train = id_bucket(F.col("doc_id"), FOLD) != HELD_OUT
     model = Model(docs.select(F.col("doc_id").cast("long"), train.alias("train"), "text"), **sizes)
