@@ -6,7 +6,8 @@ that histogram the driver fills one sequence after another: the longest length l
 dynamic program over the other lengths, one machine integer of capacity + 1 bits per length, finds the
 multiset that comes closest to the capacity; backtracking gives the count of each length. A filling is
 repeated as often as the histogram allows, which uses up some length, so there are only a few thousand
-fillings. Each piece finds its place from its length and its number among pieces of that length.
+fillings, and the plan that all tasks get has at most capacity * sqrt(2 * capacity) rows, 131,072 for 2048
+tokens. Each piece finds its place from its length and its number among pieces of that length.
 
 Scale: texts are read once, in place, and only pieces (a few numbers each) are written to the shared
 folder. A piece's number is counted within its task while it is made; per-task counts, not pieces, are
@@ -108,8 +109,8 @@ def places(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def packed(docs: DataFrame, path: str | None = None, end: int = END, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is its end id alone. Rows that repeat a doc_id, and null ids, are documents of their own;
-    other columns are ignored. An empty table gives no rows. Equal tables give equal fillings; which of two pieces of
+    A null or empty text is its end id alone; a very long one has as many pieces as it needs. Rows that repeat a doc_id,
+    and null ids, are documents of their own; other columns are ignored. An empty table gives no rows. Equal tables give equal fillings; which of two pieces of
     the same length takes which place is open.
     """
     path, spark = path or default_path(WORD_BPE), docs.sparkSession
@@ -120,7 +121,8 @@ def packed(docs: DataFrame, path: str | None = None, end: int = END, capacity: i
     plan = spark.createDataFrame(places(counts, capacity) or [], "len long, low long, high long, per long, at long, first long")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = made.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = pieces.join(bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # A row per task and length: it grows with the corpus, so it is shuffled, not broadcast.
+    ranked = pieces.join(bases.hint("merge"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     # At most capacity + 1 lengths and a few thousand fillings of at most sqrt(2 * capacity) lengths each.
     put = ranked.join(F.broadcast(plan), (F.col("length") == F.col("len")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     index = F.col("rank") - F.col("low")

@@ -240,7 +240,8 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
     Null and blank texts have no words and no hits; an item without words has no windows; items that repeat an
     id count once; a null item id counts as the empty string. Rows that repeat a doc_id, and null ids, keep a row
-    each. An empty benchmark hits nothing; an empty table gives no rows. Other columns are ignored.
+    each. Very long texts and items count whole. An empty benchmark hits nothing; an empty table gives no rows. Other
+    columns are ignored.
     """
     found = matches(build_index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", window), items, window, None, chunk)
     return found.select(

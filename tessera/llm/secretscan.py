@@ -257,7 +257,7 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataF
 def secrets(docs: DataFrame, added: tuple[Rule, ...] = ADDED) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added.
 
-    A null text is empty and has no spans. Rows that repeat, or share an id or a null id, keep a row each. Spans of
+    A null text is empty and has no spans; a very long one is scanned whole. Rows that repeat, or share an id or a null id, keep a row each. Spans of
     different kinds may overlap; equal starts are ordered by kind as listed. Other columns are ignored; an empty table
     gives no rows.
     """
