@@ -1,6 +1,6 @@
 import pytest
 
-CLASH = ["score", "key", "keys", "fp", "row", "body", "bucket", "spans", "h", "next", "rank", "length", "task", "text_", "rules", "low", "block", "items", "predicted", "cells", "train"]
+CLASH = ["score", "key", "keys", "fp", "row", "body", "bucket", "spans", "h", "next", "rank", "length", "task", "text_", "rules", "low", "block", "items", "predicted", "cells", "train", "__key", "__rules", "__body", "__spans", "__id", "__h", "__fp", "__row", "__score", "r", "k1", "k2", "masked"]
 
 
 @pytest.fixture(scope="session")

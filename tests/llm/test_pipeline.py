@@ -1,8 +1,12 @@
 """The pipeline's stages against brute force, each on what its predecessor kept."""
 
+import zlib
+from collections import defaultdict
+
 import corpus_pipeline
-from tessera.llm import positional, secretscan
-from tests.llm.test_bruteforce import brute_contamination
+import numpy as np
+from tessera.llm import positional, secretscan, tokens
+from tests.llm.test_bruteforce import brute_contamination, whole
 from tests.llm.test_nearcopies import check
 
 SF = "/root/testdata/sf0.01"
@@ -39,3 +43,49 @@ def test_stages(prepared):
 def test_run(prepared):
     out = corpus_pipeline.run(prepared, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def tables(tmp_path, docs, labels, items):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_run_on_odd_and_empty_tables(prepared, odd, empty, labels, tmp_path):
+    """Nulls, repeats, clashing columns, long texts: each kept document's ids once, in order, without gaps, within sequences."""
+    items = prepared.createDataFrame([(7, "Some text here. And a second line."), (8, None)], "item_id long, text string")
+    out = corpus_pipeline.run(prepared, tables(tmp_path / "odd", odd, labels, items)).collect()
+    # Of nulls and blanks the first stays, of repeats one; document 1 has a benchmark item's words.
+    assert sorted({str(r["doc_id"]) for r in out}) == ["2", "4", "6", "None"]
+    by_seq = defaultdict(list)
+    for r in out:
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in by_seq.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sum(r["doc_tokens"] for r in out if r["start"] == 0) == sum(r["length"] for r in out)
+    none = corpus_pipeline.run(prepared, tables(tmp_path / "none", empty, labels.limit(0), items.limit(0)))
+    assert none.collect() == []
+
+
+def test_run_packs_what_the_stages_kept(prepared):
+    """The last stage against brute force: every id of every kept document, in order."""
+    sf = "/root/testdata/sf0.001"
+    docs = prepared.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(prepared, docs, sf).cache()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    encode = whole(tokens.WORD_BPE)
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(prepared, sf).collect():
+        got[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        ids, at = np.array([*encode(t), 1], "<u4"), 0
+        for start, length, crc in sorted(got[i]):
+            assert start == at and crc == zlib.crc32(ids[at : at + length].tobytes())
+            at += length
+        assert at == len(ids)
