@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each a whole pass over what its predecessor kept."""
+"""The corpus pipeline: five stages, each a whole pass over what its predecessor kept.
+
+Every stage takes nulls in any column, empty and very long texts, rows that repeat, tables without rows and columns of any
+name, as the operator it calls states; what a stage keeps it keeps with all columns.
+"""
 
 from __future__ import annotations
 
