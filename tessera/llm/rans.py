@@ -6,9 +6,12 @@ codes a whole step at a time and the words that lanes put out interleave in one
 lane states and the place in the stream are stored as a checkpoint, from which decoding can begin, and each
 block carries the CRC-32 of its ids, which decoding verifies.
 
-Scale: one range shuffle puts documents in order; encoding and decoding work on segments of bounded size
-without seeing any other one; global positions come from per-segment totals. The container is Parquet in
-the shared folder, so it can be written and read wherever Spark can.
+Scale: one range shuffle puts documents in order; encoding works on segments of bounded size without seeing
+any other one; decoding works on single blocks, one row each, and only documents
+that cross a block's edge meet again, by a few numbers. Global positions come from per-segment totals. The
+container is Parquet in the shared folder, so it can be written and read wherever Spark can.
+
+A text of any length is encoded whole, and held whole by one task; its ids fill as many blocks as they need.
 """
 
 from __future__ import annotations
@@ -143,12 +146,12 @@ def decode_block(block: dict, table: Table, point: int | None = None) -> np.ndar
 
 # --- segments and files -----------------------------------------------------------------------------
 
-BLOCK_TYPE = pa.struct([("n", pa.int64()), ("lanes", pa.int64()), ("stream", pa.binary()), ("states", pa.binary()), ("points", pa.binary()), ("crc", pa.int64())])
+BLOCK_TYPE = pa.struct([("at", pa.int64()), ("n", pa.int64()), ("lanes", pa.int64()), ("stream", pa.binary()), ("states", pa.binary()), ("points", pa.binary()), ("crc", pa.int64())])
 SEGMENTS = pa.schema(
     [("part", pa.int64()), ("segment", pa.int64()), ("table", pa.binary()), ("blocks", pa.list_(BLOCK_TYPE)), ("docs", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64()))]
 )
 SEGMENTS_SQL = (
-    "part long, segment long, table binary, blocks array<struct<n:long,lanes:long,stream:binary,states:binary,points:binary,crc:long>>,"
+    "part long, segment long, table binary, blocks array<struct<at:long,n:long,lanes:long,stream:binary,states:binary,points:binary,crc:long>>,"
     " docs array<long>, lens array<long>"
 )
 
@@ -168,14 +171,14 @@ def open_table(packed: bytes) -> Table:
     return Table(freq)
 
 
-def _segment(part: int, serial: int, held: list[tuple[int | None, np.ndarray]]) -> dict:
+def _segment(part: int, serial: int, held: list[tuple[int | None, np.ndarray]], block: int) -> dict:
     ids = np.concatenate([a for _, a in held])
     freq = frequencies(np.bincount(ids))
-    blocks = [encode_block(ids[at : at + BLOCK], freq) for at in range(0, len(ids), BLOCK)]
+    blocks = [{"at": at} | encode_block(ids[at : at + block], freq) for at in range(0, len(ids), block)]
     return {"part": part, "segment": serial, "table": pack_table(freq), "blocks": blocks, "docs": [d for d, _ in held], "lens": [len(a) for _, a in held]}
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, block: int, segment: int) -> Iterator[pa.RecordBatch]:
     enc, part, serial = encoder(path), TaskContext.get().partitionId(), 0
     tail = enc.pack([end])
     held, size = [], 0
@@ -183,14 +186,14 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
             held.append((doc, np.frombuffer(enc.encode(text.as_py()) + tail, enc.dtype)))
             size += len(held[-1][1])
-            if size >= SEGMENT:
-                yield pa.RecordBatch.from_pylist([_segment(part, serial, held)], schema=SEGMENTS)
+            if size >= segment:
+                yield pa.RecordBatch.from_pylist([_segment(part, serial, held, block)], schema=SEGMENTS)
                 held, size, serial = [], 0, serial + 1
     if held:
-        yield pa.RecordBatch.from_pylist([_segment(part, serial, held)], schema=SEGMENTS)
+        yield pa.RecordBatch.from_pylist([_segment(part, serial, held, block)], schema=SEGMENTS)
 
 
-def write_ids(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
+def write_ids(docs: DataFrame, path: str | None = None, end: int = END, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
     """The segments of docs (doc_id, text) in ascending doc_id order, written to the shared folder.
 
     Null ids come first; rows with one id are ordered by a hash of their text. part and segment order the segments."""
@@ -198,43 +201,102 @@ def write_ids(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
-    return saved(ordered.mapInArrow(lambda it: _encode(it, path, end), SEGMENTS_SQL), codec="uncompressed")
+    return saved(ordered.mapInArrow(lambda it: _encode(it, path, end, block, segment), SEGMENTS_SQL), codec="uncompressed")
+
+
+def combined_crc(first: int, second: int, size: int) -> int:
+    """The CRC-32 of two byte strings put together, from theirs and the second one's size: size zero bytes are appended to
+    the first by squaring the operator for one zero bit."""
+    if not size:
+        return first
+
+    def times(m, v):
+        out = 0
+        for row in m:
+            if not v:
+                break
+            if v & 1:
+                out ^= row
+            v >>= 1
+        return out
+
+    op = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
+    for _ in range(3):  # one zero byte
+        op = [times(op, x) for x in op]
+    while size:
+        if size & 1:
+            first = times(op, first)
+        size >>= 1
+        if size:
+            op = [times(op, x) for x in op]
+    return first ^ second
 
 
-DOCS = pa.schema([(c, pa.int64()) for c in ("part", "segment", "doc_id", "at", "n_tokens", "ids_crc32")])
-DOCS_SQL = "part long, segment long, doc_id long, at long, n_tokens long, ids_crc32 long"
+PIECES = pa.schema([(c, pa.int64()) for c in ("part", "segment", "doc", "doc_id", "at", "n", "crc", "whole")])
+PIECES_SQL = "part long, segment long, doc long, doc_id long, at long, n long, crc long, whole long"
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, segment, table, block, docs, lens) → what each block holds of each of its documents."""
     for b in batches:
-        for row in b.to_pylist():
-            table = open_table(row["table"])
-            raw = np.concatenate([decode_block(x, table) for x in row["blocks"]]).astype(WIDE)
-            ends = np.cumsum(row["lens"]).tolist()
-            starts = [0, *ends[:-1]]
-            view = memoryview(raw).cast("B")
-            crcs = [zlib.crc32(view[4 * a : 4 * z]) for a, z in zip(starts, ends)]
-            n = len(ends)
-            cols = [[row["part"]] * n, [row["segment"]] * n, row["docs"], starts, row["lens"], crcs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=DOCS)
+        for i in range(b.num_rows):  # one block at a time is opened
+            row = {c: b.column(j)[i].as_py() for j, c in enumerate(b.schema.names)}
+            ids = decode_block(row["block"], open_table(row["table"])).astype(WIDE)
+            ends = np.cumsum(np.array(row["lens"], np.int64))
+            begin = row["block"]["at"]
+            first, last = np.searchsorted(ends, [begin, begin + len(ids) - 1], side="right")
+            docs = np.arange(first, last + 1)
+            high = np.minimum(ends[docs], begin + len(ids))
+            start = ends[docs] - np.array(row["lens"], np.int64)[docs]
+            low = np.maximum(start, begin)
+            view = memoryview(ids).cast("B")
+            crcs = [zlib.crc32(view[4 * a : 4 * z]) for a, z in zip((low - begin).tolist(), (high - begin).tolist())]
+            whole = (low == start) & (high == ends[docs])
+            n = len(docs)
+            cols = [[row["part"]] * n, [row["segment"]] * n, docs, [row["docs"][d] for d in docs.tolist()], low, high - low, crcs, whole.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=PIECES)
+
+
+def _joined_crc(pieces):
+    """The CRC-32 of a document from its pieces in order: array<struct<at, n, crc>>."""
+
+    @F.pandas_udf("long")
+    def joined(found):
+        import pandas as pd
+
+        def one(rows):
+            out = 0
+            for r in rows:
+                out = combined_crc(out, int(r["crc"]), 4 * int(r["n"]))
+            return out
+
+        return pd.Series([one(x) for x in found], dtype="int64")
+
+    return joined(pieces)
 
 
 def read_ids(segments: DataFrame) -> DataFrame:
-    """One row per document of the files: doc_id, start (ids before it), n_tokens, ids_crc32, from decoded ids."""
+    """One row per document of the files: doc_id, start (ids before it), n_tokens, ids_crc32, from decoded ids,
+    block by block."""
     totals = segments.select("part", "segment", F.expr("aggregate(lens, 0L, (a, x) -> a + x)").alias("n"))
     parts = totals.groupBy("part").agg(F.sum("n").alias("n"))  # a row per written file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inner = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     begins = totals.withColumn("n", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(parts, "part").select("part", "segment", (F.col("n") + F.col("base")).alias("begin"))
-    decoded = segments.select("part", "segment", "table", "blocks", "docs", "lens").mapInArrow(_decode, DOCS_SQL)
-    return decoded.join(begins, ["part", "segment"]).select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    blocks = segments.select("part", "segment", "table", F.explode("blocks").alias("block"), "docs", "lens")
+    pieces = saved(blocks.mapInArrow(_decode, PIECES_SQL))
+    # Only documents that cross a block's edge are put together: a row for each block they reach.
+    parted = pieces.filter("whole = 0").groupBy("part", "segment", "doc").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("p"))
+    parted = parted.select("part", "segment", "doc_id", F.expr("p[0].at").alias("at"), F.expr("aggregate(p, 0L, (a, x) -> a + x.n)").alias("n"), _joined_crc("p").alias("crc"))
+    decoded = pieces.filter("whole = 1").select("part", "segment", "doc_id", "at", "n", "crc").unionByName(parted)
+    return decoded.join(begins, ["part", "segment"]).select("doc_id", (F.col("begin") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """One row per row of docs: doc_id, start, n_tokens, ids_crc32, read back from the files.
 
-    A null or empty text is its end id alone. Rows that repeat a doc_id, and null ids (first), are documents of their
+    A null or empty text is its end id alone; a very long one counts whole. Rows that repeat a doc_id, and null ids (first), are documents of their
     own; other columns are ignored; an empty table gives no rows.
     """
     return read_ids(write_ids(docs, path, end))

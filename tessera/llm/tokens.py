@@ -2,8 +2,9 @@
 
 A text is split where the tokenizer itself always splits; each piece's ids come from the library's own
 model (for plain words) or its whole encode (for anything else) and are kept in a table of the worker
-process. A text in which those split points are not certain is encoded whole. The table is emptied when
-it is full, which costs time but never changes an id.
+process. A text in which those split points are not certain is encoded whole. A table has two generations
+of bounded bytes: when the young one is full it becomes the old one, and what the old one held and nobody
+asked for since is let go, which costs time but never changes an id.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from functools import lru_cache
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Words kept in a worker's table.
-TABLE_WORDS = 1_200_000
+#: Bytes of each of the two generations of a worker's table, about, and what an entry takes besides its word and ids.
+TABLE_BYTES, ENTRY_BYTES = 112 << 20, 190
+#: A longer word is encoded anew each time.
+LONGEST_WORD = 64
 #: Ids as bytes: little-endian, two bytes while they suffice.
 NARROW, WIDE = np.dtype("<u2"), np.dtype("<u4")
 #: White space besides space and line feed up to U+00FF, and beyond.
@@ -72,36 +75,47 @@ def _spelt(word: str) -> str:
 
 
 class Words(dict):
-    """word → its ids as bytes; prefix is the spelling of what stands before the word."""
+    """word → its ids as bytes; prefix is the spelling of what stands before the word. The dict is the young generation."""
 
     def __init__(self, owner: Encoder, before: str, size: int):
         super().__init__()
         self.owner, self.before, self.size = owner, before, size
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
-    def __missing__(self, word: str) -> bytes:
+    def made(self, word: str) -> bytes:
         o = self.owner
         if word.isalpha():
-            ids = o.pack([t.id for t in o.model.tokenize(o.spelt_space(self.before) + _spelt(word))])
-        elif word and word[-1] in _POINTS and word[:-1].isalpha():
-            ids = self[word[:-1]] + o.point(word[-1])
-        elif word:
-            ids = o.pack(o.tokenizer.encode(self.before + word, add_special_tokens=False).ids)
-        else:
-            ids = b""
-        if len(self) >= self.size:
+            return o.pack([t.id for t in o.model.tokenize(o.spelt_space(self.before) + _spelt(word))])
+        if word and word[-1] in _POINTS and word[:-1].isalpha():
+            return self[word[:-1]] + o.point(word[-1])
+        return o.pack(o.tokenizer.encode(self.before + word, add_special_tokens=False).ids) if word else b""
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.made(word)
+        if len(word) > LONGEST_WORD:
+            return ids
+        if self.held >= self.size:
+            self.old = dict(self)
             self.clear()
+            self.held = 0
         self[word] = ids
+        self.held += ENTRY_BYTES + len(word) + len(ids)
         return ids
 
 
 class Encoder:
     """Ids of whole texts under one tokenizer file, as the library gives them with add_special_tokens=False."""
 
-    def __init__(self, path: str, table_words: int = TABLE_WORDS):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):  # the model's own table would hold the same words once more
+            self.model._resize_cache(0)
         self.dtype = NARROW if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else WIDE
         self.code = "H" if self.dtype == NARROW else "I"
         with open(path, encoding="utf-8") as f:
@@ -110,8 +124,9 @@ class Encoder:
         self.word_level = "Lowercase" in kinds and "'Removed'" in kinds
         self.byte_level = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.points: dict[str, bytes] = {}
-        self.bare = Words(self, "", table_words)
-        self.spaced = Words(self, " ", table_words)
+        # Byte-level words mostly stand after a space; at word level there is but the one table.
+        self.bare = Words(self, "", table_bytes // 4 if self.byte_level else table_bytes)
+        self.spaced = Words(self, " ", table_bytes)
         self.line = self.pack(self.tokenizer.encode("\n", add_special_tokens=False).ids) if self.byte_level else b""
 
     def pack(self, ids: list[int]) -> bytes:

@@ -212,9 +212,6 @@ def test_fingerprints_of_hot_and_null_ids(prepared, range_rows, monkeypatch):
     signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -signed(r[1])))
     out = iblt.fingerprints(prepared.createDataFrame(rows, "doc_id long, text string")).collect()
-    by = defaultdict(list)
-    for r in out:
-        by[r["doc_id"], r["n_chars"], r["fingerprint"]].append(r)
     assert len(out) == len(rows)
     sha = {(r["doc_id"], r["edited_sha256"]) for r in out}
     for k, (i, t) in enumerate(order):
