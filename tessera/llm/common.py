@@ -69,6 +69,7 @@ def row_keys() -> list[Column]:
 
 
 def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """docs without the rows whose keys (k1, k2) are in lost; whatever the columns of docs are called."""
+    """docs without the rows whose keys (k1, k2) are in lost; whatever the columns of docs are called. Spark broadcasts lost
+    where it finds it small enough, else, or where it comes with a hint, texts are shuffled once."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), *row_keys())
-    return packed.join(lost.select("k1", "k2"), ["k1", "k2"], "left_anti").select("r.*")
+    return packed.join(lost, ["k1", "k2"], "left_anti").select("r.*")

@@ -252,9 +252,13 @@ def lost_rows(marks: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NOD
     return marks.select("k1", "k2").join(kept, ["k1", "k2"], "left_anti").distinct()
 
 
-def first_of_repeats(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """docs with one row of those that repeat both doc_id and text. Rows that do not repeat are not shuffled."""
-    again = saved(marks.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2"))
+def repeats(marks: DataFrame) -> DataFrame:
+    """(k1, k2) of rows that repeat both doc_id and text."""
+    return saved(marks.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2"))
+
+
+def first_of_repeats(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """docs with one row of those that repeat both doc_id and text, given by again. Other rows are not shuffled."""
     if again.isEmpty():
         return docs
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), *row_keys())
@@ -267,4 +271,4 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     rows that repeat it whole. Null and blank texts are one component. An empty table gives no rows; columns may have
     any names. Decisions are made on fingerprints and row keys alone; texts move once, to leave the lost rows out."""
     marks = saved(with_fingerprint(docs.select("doc_id", *row_keys(), "text"), shingle).select("doc_id", "k1", "k2", "fp"))
-    return without(first_of_repeats(docs, marks), saved(lost_rows(marks, radius, tree_nodes)))
+    return without(first_of_repeats(docs, repeats(marks)), saved(lost_rows(marks, radius, tree_nodes)).hint("merge"))
