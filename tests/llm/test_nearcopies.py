@@ -68,6 +68,20 @@ def test_large_bucket(prepared):
     check(dict(rows), got)
 
 
+@pytest.mark.parametrize("most", [1, 8_000_000])
+def test_rounds_and_wholes_leave_no_near_copies(prepared, most):
+    """Texts of a group compared in one task, or in rounds where it is too large for one."""
+    rng = np.random.default_rng(4)
+    base = [f"v{k}" for k in range(150)]
+    texts = {k: " ".join(w if rng.random() > 0.012 else f"x{k}{j}" for j, w in enumerate(base)) for k in range(40)}
+    rows = [(k, k, 1, s) for k, t in texts.items() for s in [np.unique((nearcopies.shingles(t) >> np.uint64(32)).astype("<u4"))]]
+    table = [(k, k1, k2, len(s), [int(x) for x in np.array(nearcopies.bands(s), np.uint64).view(np.int64)], s.tobytes()) for k, k1, k2, s in rows]
+    df = prepared.createDataFrame(table, "doc_id long, k1 long, k2 long, n int, bands array<long>, digests binary")
+    gone = {r["k1"] for r in nearcopies.near_rows(df, None, most).collect()}
+    pairs = brute_pairs(texts)
+    assert gone and gone <= {b for _, b in pairs} and not [p for p in pairs if not set(p) & gone]
+
+
 def test_odd_and_empty(odd, empty):
     out = nearcopies.deduplicated(odd)
     assert out.columns == odd.columns
