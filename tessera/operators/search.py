@@ -176,12 +176,9 @@ def trigram_index(files: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
     body = fold(F.coalesce("content", F.lit("")))
     starts = F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1)), F.lit(block))
     cut = files.select("id", body.alias("body")).select("id", F.posexplode(F.transform(starts, lambda s: F.substr("body", s, F.lit(block + 2)))).alias("block", "part"))
-    chars = F.split("part", "")
-    size = F.greatest(F.size("chars"), F.lit(1))
-    pairs = F.zip_with("chars", F.slice("chars", F.lit(2), size), lambda a, b: F.concat(a, b))
-    grams = F.array_distinct(F.zip_with(pairs, F.slice("chars", F.lit(3), size), lambda a, b: F.concat(a, b)))
-    out = cut.withColumn("chars", F.filter(chars, lambda c: c != "")).select("id", "block", F.explode(grams).alias("trigram"))
-    return out.filter(F.col("trigram").isNotNull() & (F.length("trigram") == 3))
+    # A lookahead captures three characters at every step of one, so trigrams overlap; shorter parts have none.
+    grams = F.array_distinct(F.regexp_extract_all("part", F.lit(r"(?s)(?=(...))."), F.lit(1)))
+    return cut.select("id", "block", F.explode(grams).alias("trigram"))
 
 
 def literal_trigrams(literal: str) -> list[str]:
