@@ -1,18 +1,22 @@
-"""Katz backoff language model: Good-Turing discounted counts with exactly normalised backoff weights.
+"""Katz backoff language model: Good-Turing discounted n-gram counts with exactly normalised backoff weights.
 
-P(w | v) = d(c) c(v, w) / c(v) where the bigram was seen, else a(v) P(w); P(w) = d(c) c(w) / N where the word was
-seen, else the mass that is left, given to one unknown word. d is Good-Turing's discount for counts up to 5; a(v)
-makes the probabilities after v sum to one over the vocabulary and the unknown word.
+With h the words before w, up to order - 1 of them or to the document's start, and h' the same without the first:
+P(w | h) = d(c) c(h w) / c(h) where the gram was seen, else a(h) P(w | h'); P(w) = d(c) c(w) / N where the word was
+seen, else the mass that is left, given to one unknown word. d is Good-Turing's discount for counts up to 5, one set a
+level; a(h) makes the probabilities after h sum to one over the vocabulary and the unknown word, and is 1 where h was
+not seen.
 
-Counting and scoring work by messages between blocks of documents and buckets of the vocabulary, all of them
-numpy arrays in Parquet rows in the shared folder:
+Counting and scoring work by messages between blocks of documents and buckets of words or grams, all of them numpy
+arrays in Parquet rows in the shared folder:
 
   1. blocks    a block of whole documents becomes local word numbers and a local vocabulary with training counts
   2. words     buckets by word hash sum counts and number the words: the unigram table, and an answer to each block
-  3. bigrams   blocks send their distinct bigrams to buckets by context, which sum them: the bigram table, what each
-               context needs for its weight, and each block's counts in answer
-  4. weights   what the buckets know of a context is summed in its word bucket: the backoff weight, sent to blocks
-  5. scores    a block looks up each token's bigram, backs off where it must, and sums by document
+  3. grams     for each level from 2 on, blocks send distinct grams to buckets by context, which sum them: the level's
+               table, what each context needs for its weight, and each block's counts in answer. Contexts are named by
+               the number the level below gave them; only grams whose context and whose end were seen are sent
+  4. weights   for each level, what the buckets know of a context is summed in the bucket that holds it: the backoff
+               weight, sent to blocks
+  5. scores    a block looks up each token's longest gram, backs off level by level where it must, sums by document
 
 Scale: a block pre-aggregates its counts, so a word or bigram that a third of all tokens have is one entry per
 block; a context with many tokens is dealt to several buckets by its next word, and the weights step adds them
@@ -39,12 +43,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, id_bucket, saved
 
 FOLD, HELD_OUT = 5, 1
+#: Words of the longest grams.
+ORDER = 3
 #: Largest count that is discounted.
 CUT = 5
 #: Tokens of a block; a longer document is a block of its own.
 BLOCK_TOKENS = 1_500_000
-#: Words that blocks name, and bigrams that blocks send, of one bucket, about.
-BUCKET_WORDS, BUCKET_BIGRAMS = 400_000, 1_200_000
+#: Words that blocks name, and grams of a level that blocks send, of one bucket, about.
+BUCKET_WORDS, BUCKET_GRAMS = 400_000, 1_200_000
 #: Tokens of a context from which on it is dealt to one more bucket.
 HOT_CONTEXT = 1_000_000
 END, START = b"\n", b"\t"  # no word holds white space
@@ -219,50 +225,132 @@ class Unigrams:
         return np.where(c == 0, self.unknown, np.where(c > len(self.discount), 1.0, factor) * c * self.scale)
 
 
-# --- bigrams ----------------------------------------------------------------------------------------
+# --- grams ------------------------------------------------------------------------------------------
+
+
+class Plan:
+    """What every block and bucket must know: the numbers of buckets, and what is known of each level so far."""
+
+    def __init__(self, words: int, buckets: list[int], hot: int):
+        self.words, self.buckets, self.hot = words, buckets, hot
+        self.unigrams, self.discounts = Unigrams([0] * (CUT + 1), 0), {}
+
+    def direct(self, level: int, counts: np.ndarray, divisors: np.ndarray) -> np.ndarray:
+        """The probability of grams of a level (2 or more) that were seen."""
+        factor = np.concatenate(([0.0], self.discounts[level], [1.0]))[np.minimum(counts, CUT + 1)]
+        return factor * counts / np.maximum(divisors, 1)
+
+    def lower(self, level: int, arrays: list[np.ndarray]) -> np.ndarray:
+        """The next lower level's probabilities, of what blocks send beside the grams of a level."""
+        if level == 2:
+            return self.unigrams.probability(arrays[0])
+        return self.direct(level - 1, arrays[0].astype(np.int64), arrays[1].astype(np.int64))
+
+
+def _answer(level: int) -> int:
+    """The kind of a bucket's answers to blocks; one more is that of weights of its contexts."""
+    return 5 + 10 * (level - 2)
+
+
+class Units:
+    """The distinct grams of one level in a block: global counts, names and, as contexts, weights; and for each token the
+    place of the gram that ends there, -1 where there is none or it cannot have been seen."""
+
+    def __init__(self, n: int, place: np.ndarray):
+        self.place, self.name, self.count = place, np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.weight, self.plus = np.ones(n), np.zeros(n, np.int64)
 
 
 class Opened:
-    """A block with the numbers and counts of its words. rows: kind 0 the block, kind 2 the answers of word buckets."""
+    """A block with what it has been answered. rows: kind 0 the block, kind 2 the answers of word buckets, and of each
+    level up to `level` the answers of its buckets and the weights of its contexts, where there are any yet."""
 
-    def __init__(self, rows: list[tuple], words: int):
+    def __init__(self, rows: list[tuple], plan: Plan, level: int):
         (own,) = [r for r in rows if r[2] == 0]
+        self.plan, self.held = plan, {}
+        for r in rows:
+            self.held.setdefault(r[2], []).append(r)
         self.ids, self.lens = (x.astype(np.int64) for x in _get(own[3]))
         vocabulary = zlib.decompress(own[4]).split(b" ")
         _, self.docs, train, null = _get(own[5])
         self.train, self.null = train.astype(bool), null.astype(bool)
-        where = _word_buckets(vocabulary, words)
-        self.order = np.argsort(where, kind="stable")
-        self.edges = np.searchsorted(where[self.order], np.arange(words + 1))
-        n = len(vocabulary)
-        self.bucket, self.index, self.count = where, np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for _, bucket, kind, _, _, c in rows:
-            if kind == 2:
-                ids, counts = _get(c)
-                mine = self.order[self.edges[bucket] : self.edges[bucket + 1]]
-                self.index[mine], self.count[mine] = ids, counts
-        self.vocabulary = n
-
-    def bigrams(self, buckets: int, hot: int):
-        """(context, word, training count) of the distinct bigrams, ordered by bucket; edges of the buckets; and for each
-        token the place of its bigram in that order."""
-        first = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
-        before = np.empty_like(self.ids)
-        before[1:] = self.ids[:-1]
-        before[first] = 0
-        pair = before * self.vocabulary + self.ids
-        distinct, place = np.unique(pair, return_inverse=True)
-        v, w = distinct // self.vocabulary, distinct % self.vocabulary
-        c = np.bincount(place[np.repeat(self.train, self.lens)], minlength=len(distinct))
-        name = ((self.bucket << 36) + self.index).astype(np.uint64)  # the same in every block
-        mixed = _mix(name)
-        spread = (self.count[v] // hot + 1).astype(np.uint64)
-        bucket = ((mixed[v] + _mix(mixed[w] % spread)) % np.uint64(buckets)).astype(np.int64) if buckets > 1 else np.zeros(len(v), np.int64)
-        order = np.lexsort((name[w], name[v], bucket))
+        self.first = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
+        self.trained = np.repeat(self.train, self.lens)
+        where = _word_buckets(vocabulary, plan.words)
+        order = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[order], np.arange(plan.words + 1))
+        unit = Units(len(vocabulary), self.ids)
+        for _, bucket, _, _, _, c in self.held.get(2, []):
+            mine = order[edges[bucket] : edges[bucket + 1]]
+            index, unit.count[mine] = _get(c)
+            unit.name[mine] = (bucket << 36) + index.astype(np.int64)
+        self._weigh(unit, order, edges, 6)
+        self.units = {1: unit}
+        self.sent = {}
+        for k in range(2, level + 1):
+            self._level(k)
+
+    def _weigh(self, unit: Units, order: np.ndarray, edges: np.ndarray, kind: int) -> None:
+        for _, bucket, _, _, _, c in self.held.get(kind, []):
+            mine = order[edges[bucket] : edges[bucket + 1]]
+            mine = mine[unit.count[mine] > 0]
+            unit.weight[mine], unit.plus[mine] = _get(c)
+
+    def before(self, level: int) -> np.ndarray:
+        """For each token the place of the gram of a level that ends before it, -1 where there is none."""
+        out = np.empty_like(self.ids)
+        out[1:] = self.units[level].place[:-1]
+        out[self.first] = 0 if level == 1 else -1
+        return out
+
+    def _level(self, k: int) -> None:
+        """Distinct grams of level k, ordered by bucket, context and word: those whose context and whose end, both of
+        level k - 1, were seen in training; no other can have been."""
+        below = self.units[k - 1]
+        context, end = self.before(k - 1), below.place
+        able = np.ones(len(end), bool) if k == 2 else (context >= 0) & (end >= 0)
+        if k > 2:
+            able[able] = (below.count[context[able]] > 0) & (below.count[end[able]] > 0)
+        at = np.flatnonzero(able)
+        size = len(self.units[1].name)
+        distinct, one, place = np.unique(context[at] * size + self.ids[at], return_index=True, return_inverse=True)
+        v, w, e = distinct // size, distinct % size, end[at][one]
+        c = np.bincount(place[self.trained[at]], minlength=len(distinct))
+        buckets, word = self.plan.buckets[k], self.units[1].name
+        bucket = np.zeros(len(v), np.int64)
+        if buckets > 1:
+            spread = (below.count[v] // self.plan.hot + 1).astype(np.uint64)
+            bucket = ((_mix(below.name.astype(np.uint64))[v] + _mix(_mix(word.astype(np.uint64))[w] % spread)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((word[w], below.name[v], bucket))
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
+        tokens = np.full(len(end), -1, np.int64)
+        tokens[at] = back[place]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        return v[order], w[order], c[order], edges, back[place], name
+        unit = self.units[k] = Units(len(order), tokens)
+        self.sent[k] = v[order], w[order], e[order], c[order], edges
+        for _, b, _, _, _, packed in self.held.get(_answer(k), []):
+            *index, unit.count[edges[b] : edges[b + 1]] = _get(packed)
+            if index:
+                unit.name[edges[b] : edges[b + 1]] = (b << 36) + index[0].astype(np.int64)
+        self._weigh(unit, np.arange(len(order)), edges, _answer(k) + 1 + 10)
+
+    def divisors(self, k: int) -> np.ndarray:
+        """What the counts of the grams of level k are divided by."""
+        below, v = self.units[k - 1], self.sent[k][0]
+        return below.count[v] + below.plus[v]
+
+    def probability(self, k: int) -> np.ndarray:
+        """Each token's probability after up to k - 1 words, backing off level by level."""
+        if k == 1:
+            return self.plan.unigrams.probability(self.units[1].count)[self.ids]
+        out, context, unit = self.probability(k - 1), self.before(k - 1), self.units[k]
+        known = context >= 0
+        out[known] *= self.units[k - 1].weight[context[known]]
+        at = np.flatnonzero(unit.place >= 0)
+        at = at[unit.count[unit.place[at]] > 0]
+        out[at] = self.plan.direct(k, unit.count, self.divisors(k))[unit.place[at]]
+        return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -272,68 +360,74 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _send_bigrams(words: int, buckets: int, hot: int) -> Callable:
-    """A row per block and bigram bucket: a: contexts and how many words each has here; b: words; c: counts."""
+def _send_grams(plan: Plan, k: int) -> Callable:
+    """A row per block and bucket of level k: a: contexts and how many words each has here; b: words; c: training counts
+    and what gives the words' probabilities one level lower."""
 
     def work(block: int, rows: list[tuple]) -> Iterator[tuple]:
-        o = Opened(rows, words)
-        v, w, c, edges, _, name = o.bigrams(buckets, hot)
-        for k in np.flatnonzero(np.diff(edges)):
-            part = slice(edges[k], edges[k + 1])
-            nv, nw = name[v[part]].astype(np.int64), name[w[part]].astype(np.int64)
+        o = Opened(rows, plan, k)
+        v, w, e, c, edges = o.sent[k]
+        below, word = o.units[k - 1], o.units[1].name
+        lower = [below.count[e]] if k == 2 else [below.count[e], o.divisors(k - 1)[e]]
+        for b in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[b], edges[b + 1])
+            nv, nw = below.name[v[part]], word[w[part]]
             cut = np.flatnonzero(np.concatenate(([True], nv[1:] != nv[:-1])))
             sizes = np.diff(np.append(cut, len(nv)))
             # Words are stored as steps within their context, so they compress.
             step = np.concatenate(([0], np.diff(nw)))
             step[cut] = nw[cut]
-            yield int(k), block, 0, _put(np.diff(nv[cut], prepend=0), _narrow(sizes)), _put(step), _put(_narrow(c[part]), _narrow(o.count[w[part]]))
+            yield int(b), block, 0, _put(np.diff(nv[cut], prepend=0), _narrow(sizes)), _put(step), _put(_narrow(c[part]), *[_narrow(x[part]) for x in lower])
 
     return work
 
 
-def _open_bigrams(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _open_grams(row: tuple) -> list[np.ndarray]:
     contexts, sizes = _get(row[3])
     (step,) = _get(row[4])
-    c, word_counts = _get(row[5])
+    c, *lower = _get(row[5])
     v = np.repeat(np.cumsum(contexts), sizes)
     cut = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))[:-1]))
     total = np.cumsum(step)
     w = total - np.repeat(total[cut] - step[cut], sizes)
-    return v, w, c.astype(np.int64), word_counts.astype(np.int64)
+    return [v, w, c.astype(np.int64), *[x.astype(np.int64) for x in lower]]
 
 
-def _sum_bigrams(unigrams: Unigrams) -> Callable:
-    """kind 3: the bucket's bigrams; kind 4: for each word bucket what its contexts need; kind 5: each block's answers."""
+def _sum_grams(plan: Plan, k: int, top: bool) -> Callable:
+    """kind 3: the bucket's grams; kind 4: for each bucket of contexts what its contexts need; and answers to blocks:
+    counts, and below the top level before them the grams' numbers."""
 
     def work(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
         blocks = [r[1] for r in rows]
-        opened = [_open_bigrams(r) for r in rows]
+        opened = [_open_grams(r) for r in rows]
         sizes = [len(x[0]) for x in opened]
-        v, w, c, wc = (np.concatenate([x[i] for x in opened]) for i in range(4))
+        v, w, c, *lower = (np.concatenate(x) for x in zip(*opened))
         del opened
         order = np.lexsort((w, v))
         new = np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])))
         place = np.empty(len(v), np.int64)
         place[order] = np.cumsum(new) - 1
         total = np.bincount(place, c, minlength=int(new.sum())).astype(np.int64)
-        answers = np.split(total[place], np.cumsum(sizes)[:-1])
-        for block, a in zip(blocks, answers):
-            yield block, bucket, 5, b"", b"", _put(_narrow(a))
-        keep = order[new][total > 0]
-        sv, sw, sc, swc = v[keep], w[keep], total[total > 0], wc[keep]
+        seen = total > 0
+        number = np.where(seen, np.cumsum(seen) - 1, 0)
+        ends = np.cumsum(sizes)[:-1]
+        for block, mine in zip(blocks, np.split(place, ends)):
+            yield block, bucket, _answer(k), b"", b"", _put(*([] if top else [_narrow(number[mine])]), _narrow(total[mine]))
+        keep = order[new][seen]
+        sv, sw, sc = v[keep], w[keep], total[seen]
         if not len(sv):
             return
         cut = np.flatnonzero(np.concatenate(([True], sv[1:] != sv[:-1])))
         tally = np.bincount(np.minimum(sc, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
         yield bucket, 0, 3, _put(sv, sw), _put(tally.astype(np.int64)), _put(_narrow(sc))
         owner = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(sv))))
-        mass = np.bincount(owner, unigrams.probability(swc), minlength=len(cut))
+        mass = np.bincount(owner, plan.lower(k, [x[keep] for x in lower]), minlength=len(cut))
         low = [np.bincount(owner[sc == r], minlength=len(cut)) for r in range(1, CUT + 1)]
         context = sv[cut]
         home = context >> 36
-        for k in np.unique(home):
-            mine = home == k
-            yield int(k), bucket, 4, _put((context[mine] & ((1 << 36) - 1)).astype("<i8"), mass[mine]), _put(*[_narrow(x[mine]) for x in low]), b""
+        for b in np.unique(home):
+            mine = home == b
+            yield int(b), bucket, 4, _put((context[mine] & ((1 << 36) - 1)).astype("<i8"), mass[mine]), _put(*[_narrow(x[mine]) for x in low]), b""
 
     return work
 
@@ -352,12 +446,15 @@ def weights(count: np.ndarray, low: np.ndarray, mass: np.ndarray, discount: np.n
     return weight, divisor.astype(np.int64)
 
 
-def _weigh(discount: np.ndarray) -> Callable:
-    """Rows of a word bucket (kind 1 its words, 2 who asked, 4 parts) → kind 6 for each block: weights and divisors."""
+def _weigh(discount: np.ndarray, level: int) -> Callable:
+    """Rows of a bucket of contexts (kind 1 or 3 what it holds, 2 who asked, 4 parts) → for each block that asked the
+    weights and divisors of the contexts seen in training. level: that of the grams they are contexts of."""
 
     def work(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-        ((count, _),) = [_get(r[5]) for r in rows if r[2] == 1]
-        count = count.astype(np.int64)
+        held = [_get(r[5])[0] for r in rows if r[2] in (1, 3)]
+        if not held:
+            return
+        count = held[0].astype(np.int64)
         mass, low = np.zeros(len(count)), np.zeros((CUT, len(count)), np.int64)
         for r in rows:
             if r[2] == 4:
@@ -369,8 +466,9 @@ def _weigh(discount: np.ndarray) -> Callable:
         plus = (divisor - count).astype("<u1")
         for r in rows:
             if r[2] == 2:
-                ids = _get(r[5])[0]
-                yield r[1], bucket, 6, b"", b"", _put(weight[ids], plus[ids])
+                ids, counts = _get(r[5])
+                ids = ids[counts > 0]
+                yield r[1], bucket, _answer(level) + 1, b"", b"", _put(weight[ids], plus[ids])
 
     return work
 
@@ -381,28 +479,16 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 SCORES_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(words: int, buckets: int, hot: int, unigrams: Unigrams, types: int, discount: np.ndarray) -> Callable:
+def _score(plan: Plan, order: int, types: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
-            o = Opened(rows, words)
-            v, w, _, edges, place, _ = o.bigrams(buckets, hot)
-            seen = np.zeros(len(v), np.int64)
-            weight, plus = np.ones(o.vocabulary), np.zeros(o.vocabulary, np.int64)
-            for _, sub, kind, _, _, c in rows:
-                if kind == 5:
-                    seen[edges[sub] : edges[sub + 1]] = _get(c)[0]
-                elif kind == 6:
-                    mine = o.order[o.edges[sub] : o.edges[sub + 1]]
-                    weight[mine], plus[mine] = _get(c)
-            single = unigrams.probability(o.count)
-            factor = np.concatenate(([0.0], discount, [1.0]))[np.minimum(seen, CUT + 1)]
-            direct = factor * seen / np.maximum(o.count[v] + plus[v], 1)
-            with np.errstate(divide="ignore"):
-                logs = np.log10(np.where(seen > 0, direct, weight[v] * single[w]))
-            first = np.concatenate(([0], np.cumsum(o.lens)[:-1]))
-            base = np.log10((o.count + 0.5) / (unigrams.total + 0.5 * (types + 1)))
-            cols = [pa.array(o.docs, mask=o.null), ~o.train, o.lens, np.add.reduceat((o.count[o.ids] > 0).astype(np.int64), first), np.add.reduceat(base[o.ids], first), np.add.reduceat(logs[place], first)]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], schema=SCORES)
+            o = Opened(rows, plan, order)
+            count = o.units[1].count
+            logs = np.log10(o.probability(order))
+            base = np.log10((count + 0.5) / (plan.unigrams.total + 0.5 * (types + 1)))
+            sums = [np.add.reduceat(x, o.first) for x in ((count[o.ids] > 0).astype(np.int64), base[o.ids], logs)]
+            cols = [pa.array(o.docs, mask=o.null), *map(pa.array, (~o.train, o.lens, *sums))]
+            yield pa.RecordBatch.from_arrays(cols, schema=SCORES)
 
     return run
 
@@ -416,37 +502,47 @@ def tidy(spark) -> None:
 
 
 class Model:
-    """The tables of a fitted model and the blocks it was fitted on: unigrams (kind 1) and bigrams (kind 3) are
-    partitioned by their buckets; driver-side there are only totals, discounts and bucket numbers."""
+    """The tables of a fitted model and the blocks it was fitted on: unigrams (kind 1) and the grams of each level (kind 3)
+    are partitioned by their buckets; driver-side there are only totals, discounts and bucket numbers."""
 
-    def __init__(self, rows: DataFrame, block_tokens: int = BLOCK_TOKENS, bucket_words: int = BUCKET_WORDS, bucket_bigrams: int = BUCKET_BIGRAMS, hot: int = HOT_CONTEXT):
+    def __init__(self, rows: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, bucket_words: int = BUCKET_WORDS, bucket_grams: int = BUCKET_GRAMS, hot: int = HOT_CONTEXT):
         """rows: doc_id (long), train (boolean), text."""
+        if order < 2:
+            raise ValueError("order must be two or more")
         spark = rows.sparkSession
-        self.hot = hot
+        self.order = order
         self.blocks = saved(rows.select("doc_id", "train", "text").mapInArrow(lambda it: _blocks(it, block_tokens), ROW), "uncompressed")
         sizes = self.blocks.select(F.octet_length("b").cast("bigint").alias("b"), F.octet_length("a").cast("bigint").alias("a")).agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()
         self.block_parts = parts = max(1, 2 * sizes[2])  # two a block, so that few blocks share a task
         # A compressed vocabulary takes about four bytes a word, token numbers about two a token.
-        self.words = words = max(1, int((sizes[0] or 0) / 4 / bucket_words) + 1)
-        self.buckets = buckets = max(1, int((sizes[1] or 0) / 2 * 0.7 / bucket_bigrams) + 1)
+        words = max(1, int((sizes[0] or 0) / 4 / bucket_words) + 1)
+        tokens = (sizes[1] or 0) / 2
+        self.plan = plan = Plan(words, [0, 0, *[max(1, int(tokens * min(1, 0.5 + 0.1 * k) / bucket_grams) + 1) for k in range(2, order + 1)]], hot)
         sent = self.blocks.mapInArrow(lambda it: _send_words(it, words), ROW)
         self.unigram_rows = saved(_per_key(sent, _sum_words, 2 * words), "uncompressed")
         tidy(spark)
         n, total, types = self._unigram_totals()
-        self.unigrams, self.types = Unigrams(n, total) if total else Unigrams([0] * (CUT + 1), 0), types
+        self.types = types
+        if total:
+            plan.unigrams = Unigrams(n, total)
         asked = self.unigram_rows.filter("kind = 2")
-        by_block = self.blocks.unionByName(asked)
-        hot_, uni = self.hot, self.unigrams
-        out = _per_key(by_block, _send_bigrams(words, buckets, hot_), parts)
-        self.bigram_rows = saved(_per_key(out, _sum_bigrams(uni), 2 * buckets), "uncompressed")
-        tidy(spark)
-        self.discount = discounts(self._bigram_tally())
-        discount = self.discount
-        # Word buckets get their own table, who asked (turned round), and the contexts' parts.
-        turned = asked.select(F.col("sub").alias("key"), F.col("key").alias("sub"), "kind", "a", "b", "c")
-        gathered = self.unigram_rows.filter("kind = 1").unionByName(turned).unionByName(self.bigram_rows.filter("kind = 4"))
-        self.weight_rows = saved(_per_key(gathered, _weigh(discount), 2 * words), "uncompressed")
-        tidy(spark)
+        held, contexts = self.unigram_rows.filter("kind = 1"), words
+        self.known = self.blocks.unionByName(asked)  # what blocks have and have been answered
+        self.gram_rows = {}
+        for k in range(2, order + 1):
+            top, buckets = k == order, plan.buckets[k]
+            out = _per_key(self.known, _send_grams(plan, k), parts)
+            rows_ = self.gram_rows[k] = saved(_per_key(out, _sum_grams(plan, k, top), 2 * buckets), "uncompressed")
+            tidy(spark)
+            plan.discounts[k] = discounts(self._tally(rows_))
+            # Buckets of contexts get their own table, who asked (turned round), and the contexts' parts.
+            turned = asked.select(F.col("sub").alias("key"), F.col("key").alias("sub"), F.lit(2).alias("kind"), "a", "b", "c")
+            gathered = held.unionByName(turned).unionByName(rows_.filter("kind = 4"))
+            weighed = saved(_per_key(gathered, _weigh(plan.discounts[k], k), 2 * contexts), "uncompressed")
+            tidy(spark)
+            asked = rows_.filter(F.col("kind") == _answer(k))
+            held, contexts = rows_.filter("kind = 3"), buckets
+            self.known = self.known.unionByName(asked).unionByName(weighed)
 
     def _unigram_totals(self) -> tuple[list[int], int, int]:
         def run(batches):
@@ -462,24 +558,23 @@ class Model:
         got = [int(x or 0) for x in found]
         return got[: CUT + 1], got[-2], got[-1]
 
-    def _bigram_tally(self) -> list[int]:
+    def _tally(self, rows: DataFrame) -> list[int]:
         def run(batches):
             for b in batches:
                 for x in b.column(0).to_pylist():
                     yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in _get(x)[0]], names=names)
 
         names = [f"n{r}" for r in range(1, CUT + 2)]
-        found = self.bigram_rows.filter("kind = 3").select("b").mapInArrow(run, ", ".join(f"{x} long" for x in names)).agg(*[F.sum(x) for x in names]).first()
+        found = rows.filter("kind = 3").select("b").mapInArrow(run, ", ".join(f"{x} long" for x in names)).agg(*[F.sum(x) for x in names]).first()
         return [int(x or 0) for x in found]
 
     def scores(self) -> DataFrame:
         """(doc_id, held_out, n_tokens, n_known, base_score, score) of the documents of the blocks."""
-        every = self.blocks.unionByName(self.unigram_rows.filter("kind = 2")).unionByName(self.bigram_rows.filter("kind = 5")).unionByName(self.weight_rows)
-        ordered = every.repartition(self.block_parts, "key").sortWithinPartitions("key", "kind", "sub")
-        return ordered.mapInArrow(_score(self.words, self.buckets, self.hot, self.unigrams, self.types, self.discount), SCORES_SQL)
+        ordered = self.known.repartition(self.block_parts, "key").sortWithinPartitions("key", "kind", "sub")
+        return ordered.mapInArrow(_score(self.plan, self.order, self.types), SCORES_SQL)
 
 
-def scored(docs: DataFrame, **sizes: int) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER, **sizes: int) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null, empty or blank text is its end alone. Without training rows every probability is that of the one unknown
@@ -487,7 +582,7 @@ def scored(docs: DataFrame, **sizes: int) -> DataFrame:
     long texts count whole; other columns are ignored; an empty table gives no rows.
     """
     train = id_bucket(F.col("doc_id"), FOLD) != HELD_OUT
-    model = Model(docs.select(F.col("doc_id").cast("long"), train.alias("train"), "text"), **sizes)
-    return model.scores().withColumn("train_tokens", F.lit(model.unigrams.total).cast("bigint")).select(
+    model = Model(docs.select(F.col("doc_id").cast("long"), train.alias("train"), "text"), order, **sizes)
+    return model.scores().withColumn("train_tokens", F.lit(model.plan.unigrams.total).cast("bigint")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

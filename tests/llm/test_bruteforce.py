@@ -109,44 +109,59 @@ def test_forest_arrays_agree_with_a_walk():
 # --- 3 language model
 
 
-def brute_katz(rows):
+def brute_katz(rows, order):
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + ["\n"]
 
+    def grams(ws, k):
+        """(context, word) of each token that has k - 1 words before it, the start among them."""
+        line = ["\t", *ws] if k > 1 else ws
+        return [(tuple(line[i - k + 1 : i]), line[i]) for i in range(k - 1, len(line))]
+
     train = [words(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    uni = Counter(w for ws in train for w in ws)
+    seen = {k: Counter(g for ws in train for g in grams(ws, k)) for k in range(1, order + 1)}
+    uni = Counter({w: c for (_, w), c in seen[1].items()})
     total, types = sum(uni.values()), len(uni)
-    pairs = Counter(p for ws in train for p in zip(["\t", *ws[:-1]], ws))
     tally = lambda c: [sum(1 for x in c.values() if x == r) for r in range(1, 7)]
-    low, d = katz.Unigrams(tally(uni), total), katz.discounts(tally(pairs))
-    p = lambda w: float(low.probability(np.array([uni[w]]))[0])
-    after = defaultdict(list)
-    for (v, w), c in pairs.items():
-        after[v].append((w, c))
+    low, d = katz.Unigrams(tally(uni), total), {k: katz.discounts(tally(seen[k])) for k in range(2, order + 1)}
+    after = {k: defaultdict(list) for k in range(2, order + 1)}
+    for k in after:
+        for (h, w), c in seen[k].items():
+            after[k][h].append((w, c))
     weight = {}
-    for v, seen in after.items():
-        div, freed = sum(c for _, c in seen), sum((1 - d[c - 1]) * c for _, c in seen if c <= 5)
-        if freed <= 1e-9:
-            div, freed = div + 1, 1
-        weight[v] = freed / div / (1 - sum(p(w) for w, _ in seen)), div
-    for v in list(after)[:20]:
-        sums = sum((d[c - 1] if c <= 5 else 1) * c / weight[v][1] for _, c in after[v]) + weight[v][0] * (1 - sum(p(w) for w, _ in after[v]))
-        assert sums == pytest.approx(1)
-    assert sum(p(w) for w in uni) + low.unknown == pytest.approx(1)
+
+    def p(h, w):
+        if not h:
+            return float(low.probability(np.array([uni[w]]))[0])
+        k = len(h) + 1
+        c = seen[k].get((h, w), 0)
+        if not c:
+            return weight.get(h, (1,))[0] * p(h[1:], w)
+        return (d[k][c - 1] if c <= 5 else 1) * c / weight[h][1]
+
+    for k in after:
+        for h, found in after[k].items():
+            div, freed = sum(c for _, c in found), sum((1 - d[k][c - 1]) * c for _, c in found if c <= 5)
+            if freed <= 1e-9:
+                div, freed = div + 1, 1
+            weight[h] = freed / div / (1 - sum(p(h[1:], w) for w, _ in found)), div
+        for h in list(after[k])[:10]:
+            assert sum(p(h, w) for w in [*uni, "never seen"]) == pytest.approx(1)
+    assert sum(p((), w) for w in uni) + low.unknown == pytest.approx(1)
     out = {}
     for i, t in rows:
-        ws, logs = words(t), 0.0
-        for v, w in zip(["\t", *ws[:-1]], ws):
-            c = pairs.get((v, w), 0)
-            logs += math.log10((d[c - 1] if c <= 5 else 1) * c / weight[v][1] if c else weight.get(v, (1,))[0] * p(w))
+        ws = words(t)
+        line = ["\t", *ws]
+        logs = sum(math.log10(p(tuple(line[max(0, j - order + 1) : j]), line[j])) for j in range(1, len(line)))
         out[i] = (len(ws), sum(uni[w] > 0 for w in ws), total, sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (types + 1))) for w in ws), logs)
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_tokens": 4000, "bucket_words": 900, "bucket_bigrams": 3000, "hot": 60}])
-def test_katz(small, sizes):
-    want = brute_katz(sorted(texts(small).items()))
-    for r in katz.scored(small, **sizes).collect():
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("sizes", [{}, {"block_tokens": 4000, "bucket_words": 900, "bucket_grams": 3000, "hot": 60}])
+def test_katz(small, order, sizes):
+    want = brute_katz(sorted(texts(small).items()), order)
+    for r in katz.scored(small, order, **sizes).collect():
         n, known, total, base, score = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
