@@ -121,7 +121,7 @@ def _per_key(df: DataFrame, work: Callable, n: int) -> DataFrame:
 
 def _block(key: int, held: list[tuple[int | None, bool, list[bytes]]]) -> tuple:
     """One row: a: token numbers and document lengths, b: the local vocabulary, c: training counts, ids, whether each is
-    for training, whether its id is null."""
+    for training, whether its id is null, whether held-out documents have the word."""
     number: dict[bytes, int] = {START: 0, END: 1}
     flat: list[bytes] = []
     for _, _, ws in held:
@@ -132,9 +132,11 @@ def _block(key: int, held: list[tuple[int | None, bool, list[bytes]]]) -> tuple:
     train = np.array([t for _, t, _ in held], bool)
     counts = np.bincount(ids[np.repeat(train, lens)], minlength=len(number))
     counts[0] = train.sum()  # the start is a context, not a token
+    other = np.bincount(ids[~np.repeat(train, lens)], minlength=len(number)) > 0
+    other[0] = not train.all()
     docs = np.array([d or 0 for d, _, _ in held], np.int64)
     null = np.array([d is None for d, _, _ in held], "<u1")
-    return key, 0, 0, _put(_narrow(ids), _narrow(lens)), zlib.compress(b" ".join(number), 1), _put(_narrow(counts), docs, train.astype("<u1"), null)
+    return key, 0, 0, _put(_narrow(ids), _narrow(lens)), zlib.compress(b" ".join(number), 1), _put(_narrow(counts), docs, train.astype("<u1"), null, other.astype("<u1"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -161,35 +163,37 @@ def _word_buckets(vocabulary: list[bytes], n: int) -> np.ndarray:
 
 
 def _send_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """A row per block and word bucket: key the bucket, sub the block, b the words, c their counts."""
+    """A row per block and word bucket: key the bucket, sub the block, a which of them held-out documents have, b the words, c their counts."""
     for b in batches:
         for key, _, _, _, vocabulary, c in zip(*(x.to_pylist() for x in b.columns)):
-            words, counts = zlib.decompress(vocabulary).split(b" "), _get(c)[0]
+            words = zlib.decompress(vocabulary).split(b" ")
+            counts, _, _, _, other = _get(c)
             where = _word_buckets(words, n)
             order = np.argsort(where, kind="stable")
             edges = np.searchsorted(where[order], np.arange(n + 1))
             rows = []
             for k in np.flatnonzero(np.diff(edges)):
                 mine = order[edges[k] : edges[k + 1]]
-                rows.append((int(k), key, 0, b"", zlib.compress(b" ".join([words[i] for i in mine.tolist()]), 1), _put(counts[mine])))
+                rows.append((int(k), key, 0, _put(np.packbits(other[mine])), zlib.compress(b" ".join([words[i] for i in mine.tolist()]), 1), _put(counts[mine])))
             if rows:
                 yield _batch(rows)
 
 
 def _sum_words(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-    """kind 1: the bucket's words and counts; kind 2: for each block its words' numbers in the bucket and their counts."""
+    """kind 1: the bucket's words and counts; kind 2: for each block its words' numbers in the bucket and their counts,
+    and what the block says of held-out documents, for the weights."""
     number: dict[bytes, int] = {}
     asked = []
-    for _, block, _, _, words, c in rows:
+    for _, block, _, other, words, c in rows:
         ws = zlib.decompress(words).split(b" ")
-        asked.append((block, np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)), _get(c)[0].astype(np.int64)))
+        asked.append((block, other, np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)), _get(c)[0].astype(np.int64)))
     total = np.zeros(len(number), np.int64)
-    for _, ids, counts in asked:
+    for _, _, ids, counts in asked:
         np.add.at(total, ids, counts)
     special = np.array([w == START for w in number], "<u1")
     yield bucket, 0, 1, b"", zlib.compress(b" ".join(number), 1), _put(_narrow(total), special)
-    for block, ids, _ in asked:
-        yield block, bucket, 2, b"", b"", _put(_narrow(ids), _narrow(total[ids]))
+    for block, other, ids, _ in asked:
+        yield block, bucket, 2, other, b"", _put(_narrow(ids), _narrow(total[ids]))
 
 
 # --- discounts --------------------------------------------------------------------------------------
@@ -232,7 +236,7 @@ class Plan:
     """What every block and bucket must know: the numbers of buckets, and what is known of each level so far."""
 
     def __init__(self, words: int, buckets: list[int], hot: int):
-        self.words, self.buckets, self.hot = words, buckets, hot
+        self.words, self.buckets, self.hot, self.order = words, buckets, hot, len(buckets) - 1
         self.unigrams, self.discounts = Unigrams([0] * (CUT + 1), 0), {}
 
     def direct(self, level: int, counts: np.ndarray, divisors: np.ndarray) -> np.ndarray:
@@ -256,7 +260,8 @@ class Units:
     """The distinct grams of one level in a block: global counts, names and, as contexts, weights; and for each token the
     place of the gram that ends there, -1 where there is none or it cannot have been seen."""
 
-    def __init__(self, n: int, place: np.ndarray):
+    def __init__(self, n: int, place: np.ndarray, other: np.ndarray):
+        self.other = other  # held-out documents have the gram: only there does a context need its weight
         self.place, self.name, self.count = place, np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.weight, self.plus = np.ones(n), np.zeros(n, np.int64)
 
@@ -272,14 +277,14 @@ class Opened:
             self.held.setdefault(r[2], []).append(r)
         self.ids, self.lens = (x.astype(np.int64) for x in _get(own[3]))
         vocabulary = zlib.decompress(own[4]).split(b" ")
-        _, self.docs, train, null = _get(own[5])
+        _, self.docs, train, null, other = _get(own[5])
         self.train, self.null = train.astype(bool), null.astype(bool)
         self.first = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
         self.trained = np.repeat(self.train, self.lens)
         where = _word_buckets(vocabulary, plan.words)
         order = np.argsort(where, kind="stable")
         edges = np.searchsorted(where[order], np.arange(plan.words + 1))
-        unit = Units(len(vocabulary), self.ids)
+        unit = Units(len(vocabulary), self.ids, other.astype(bool))
         for _, bucket, _, _, _, c in self.held.get(2, []):
             mine = order[edges[bucket] : edges[bucket + 1]]
             index, unit.count[mine] = _get(c)
@@ -294,7 +299,7 @@ class Opened:
         for _, bucket, _, _, _, c in self.held.get(kind, []):
             mine = order[edges[bucket] : edges[bucket + 1]]
             mine = mine[unit.count[mine] > 0]
-            unit.weight[mine], unit.plus[mine] = _get(c)
+            unit.weight[mine[unit.other[mine]]], unit.plus[mine] = _get(c)
 
     def before(self, level: int) -> np.ndarray:
         """For each token the place of the gram of a level that ends before it, -1 where there is none."""
@@ -316,6 +321,7 @@ class Opened:
         distinct, one, place = np.unique(context[at] * size + self.ids[at], return_index=True, return_inverse=True)
         v, w, e = distinct // size, distinct % size, end[at][one]
         c = np.bincount(place[self.trained[at]], minlength=len(distinct))
+        other = np.bincount(place[~self.trained[at]], minlength=len(distinct)) > 0
         buckets, word = self.plan.buckets[k], self.units[1].name
         bucket = np.zeros(len(v), np.int64)
         if buckets > 1:
@@ -327,7 +333,7 @@ class Opened:
         tokens = np.full(len(end), -1, np.int64)
         tokens[at] = back[place]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        unit = self.units[k] = Units(len(order), tokens)
+        unit = self.units[k] = Units(len(order), tokens, other[order])
         self.sent[k] = v[order], w[order], e[order], c[order], edges
         for _, b, _, _, _, packed in self.held.get(_answer(k), []):
             *index, unit.count[edges[b] : edges[b + 1]] = _get(packed)
@@ -361,7 +367,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _send_grams(plan: Plan, k: int) -> Callable:
-    """A row per block and bucket of level k: a: contexts and how many words each has here; b: words; c: training counts
+    """A row per block and bucket of level k: a: contexts, how many words each has here, and below the longest grams which
+    held-out documents have; b: words; c: training counts
     and what gives the words' probabilities one level lower."""
 
     def work(block: int, rows: list[tuple]) -> Iterator[tuple]:
@@ -377,13 +384,14 @@ def _send_grams(plan: Plan, k: int) -> Callable:
             # Words are stored as steps within their context, so they compress.
             step = np.concatenate(([0], np.diff(nw)))
             step[cut] = nw[cut]
-            yield int(b), block, 0, _put(np.diff(nv[cut], prepend=0), _narrow(sizes)), _put(step), _put(_narrow(c[part]), *[_narrow(x[part]) for x in lower])
+            other = [np.packbits(o.units[k].other[part])] if k < plan.order else []
+            yield int(b), block, 0, _put(np.diff(nv[cut], prepend=0), _narrow(sizes), *other), _put(step), _put(_narrow(c[part]), *[_narrow(x[part]) for x in lower])
 
     return work
 
 
 def _open_grams(row: tuple) -> list[np.ndarray]:
-    contexts, sizes = _get(row[3])
+    contexts, sizes, *_ = _get(row[3])
     (step,) = _get(row[4])
     c, *lower = _get(row[5])
     v = np.repeat(np.cumsum(contexts), sizes)
@@ -393,12 +401,12 @@ def _open_grams(row: tuple) -> list[np.ndarray]:
     return [v, w, c.astype(np.int64), *[x.astype(np.int64) for x in lower]]
 
 
-def _sum_grams(plan: Plan, k: int, top: bool) -> Callable:
+def _sum_grams(plan: Plan, k: int) -> Callable:
     """kind 3: the bucket's grams; kind 4: for each bucket of contexts what its contexts need; and answers to blocks:
-    counts, and below the top level before them the grams' numbers."""
+    counts, and below the top level before them the grams' numbers, and a: which held-out documents have."""
+    top = k == plan.order
 
     def work(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-        blocks = [r[1] for r in rows]
         opened = [_open_grams(r) for r in rows]
         sizes = [len(x[0]) for x in opened]
         v, w, c, *lower = (np.concatenate(x) for x in zip(*opened))
@@ -411,8 +419,9 @@ def _sum_grams(plan: Plan, k: int, top: bool) -> Callable:
         seen = total > 0
         number = np.where(seen, np.cumsum(seen) - 1, 0)
         ends = np.cumsum(sizes)[:-1]
-        for block, mine in zip(blocks, np.split(place, ends)):
-            yield block, bucket, _answer(k), b"", b"", _put(*([] if top else [_narrow(number[mine])]), _narrow(total[mine]))
+        for row, mine in zip(rows, np.split(place, ends)):
+            other = b"" if top else _put(_get(row[3])[2])
+            yield row[1], bucket, _answer(k), other, b"", _put(*([] if top else [_narrow(number[mine])]), _narrow(total[mine]))
         keep = order[new][seen]
         sv, sw, sc = v[keep], w[keep], total[seen]
         if not len(sv):
@@ -448,7 +457,8 @@ def weights(count: np.ndarray, low: np.ndarray, mass: np.ndarray, discount: np.n
 
 def _weigh(discount: np.ndarray, level: int) -> Callable:
     """Rows of a bucket of contexts (kind 1 or 3 what it holds, 2 who asked, 4 parts) → for each block that asked the
-    weights and divisors of the contexts seen in training. level: that of the grams they are contexts of."""
+    weights, of contexts that its held-out documents have (all that training documents hold was seen), and divisors of the
+    contexts seen in training. level: that of the grams they are contexts of."""
 
     def work(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
         held = [_get(r[5])[0] for r in rows if r[2] in (1, 3)]
@@ -467,8 +477,9 @@ def _weigh(discount: np.ndarray, level: int) -> Callable:
         for r in rows:
             if r[2] == 2:
                 ids, counts = _get(r[5])
-                ids = ids[counts > 0]
-                yield r[1], bucket, _answer(level) + 1, b"", b"", _put(weight[ids], plus[ids])
+                other = np.unpackbits(_get(r[3])[0], count=len(ids)).astype(bool)
+                seen = counts > 0
+                yield r[1], bucket, _answer(level) + 1, b"", b"", _put(weight[ids[seen & other]], plus[ids[seen]])
 
     return work
 
@@ -526,13 +537,14 @@ class Model:
         if total:
             plan.unigrams = Unigrams(n, total)
         asked = self.unigram_rows.filter("kind = 2")
+        answer = ["key", "sub", "kind", F.lit(b"").alias("a"), "b", "c"]  # what a block said itself need not go back
         held, contexts = self.unigram_rows.filter("kind = 1"), words
-        self.known = self.blocks.unionByName(asked)  # what blocks have and have been answered
+        self.known = self.blocks.unionByName(asked.select(*answer))  # what blocks have and have been answered
         self.gram_rows = {}
         for k in range(2, order + 1):
-            top, buckets = k == order, plan.buckets[k]
+            buckets = plan.buckets[k]
             out = _per_key(self.known, _send_grams(plan, k), parts)
-            rows_ = self.gram_rows[k] = saved(_per_key(out, _sum_grams(plan, k, top), 2 * buckets), "uncompressed")
+            rows_ = self.gram_rows[k] = saved(_per_key(out, _sum_grams(plan, k), 2 * buckets), "uncompressed")
             tidy(spark)
             plan.discounts[k] = discounts(self._tally(rows_))
             # Buckets of contexts get their own table, who asked (turned round), and the contexts' parts.
@@ -542,7 +554,7 @@ class Model:
             tidy(spark)
             asked = rows_.filter(F.col("kind") == _answer(k))
             held, contexts = rows_.filter("kind = 3"), buckets
-            self.known = self.known.unionByName(asked).unionByName(weighed)
+            self.known = self.known.unionByName(asked.select(*answer)).unionByName(weighed)
 
     def _unigram_totals(self) -> tuple[list[int], int, int]:
         def run(batches):
