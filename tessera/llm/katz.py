@@ -338,7 +338,7 @@ class Opened:
         for _, b, _, _, _, packed in self.held.get(_answer(k), []):
             *index, unit.count[edges[b] : edges[b + 1]] = _get(packed)
             if index:
-                unit.name[edges[b] : edges[b + 1]] = (b << 36) + index[0].astype(np.int64)
+                unit.name[edges[b] : edges[b + 1]] = (b << 36) + np.cumsum(index[0].astype(np.int64))
         self._weigh(unit, np.arange(len(order)), edges, _answer(k) + 1 + 10)
 
     def divisors(self, k: int) -> np.ndarray:
@@ -417,19 +417,22 @@ def _sum_grams(plan: Plan, k: int) -> Callable:
         place[order] = np.cumsum(new) - 1
         total = np.bincount(place, c, minlength=int(new.sum())).astype(np.int64)
         seen = total > 0
-        number = np.where(seen, np.cumsum(seen) - 1, 0)
+        number = np.maximum(np.cumsum(seen) - 1, 0)  # rises with place, so steps are stored
         ends = np.cumsum(sizes)[:-1]
         for row, mine in zip(rows, np.split(place, ends)):
             other = b"" if top else _put(_get(row[3])[2])
-            yield row[1], bucket, _answer(k), other, b"", _put(*([] if top else [_narrow(number[mine])]), _narrow(total[mine]))
+            yield row[1], bucket, _answer(k), other, b"", _put(*([] if top else [_narrow(np.diff(number[mine], prepend=0))]), _narrow(total[mine]))
         keep = order[new][seen]
         sv, sw, sc = v[keep], w[keep], total[seen]
         if not len(sv):
             return
         cut = np.flatnonzero(np.concatenate(([True], sv[1:] != sv[:-1])))
         tally = np.bincount(np.minimum(sc, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-        yield bucket, 0, 3, _put(sv, sw), _put(tally.astype(np.int64)), _put(_narrow(sc))
-        owner = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(sv))))
+        many = np.diff(np.append(cut, len(sv)))
+        step = np.diff(sw, prepend=0)
+        step[cut] = sw[cut]
+        yield bucket, 0, 3, _put(np.diff(sv[cut], prepend=0), _narrow(many), step), _put(tally.astype(np.int64)), _put(_narrow(sc))
+        owner = np.repeat(np.arange(len(cut)), many)
         mass = np.bincount(owner, plan.lower(k, [x[keep] for x in lower]), minlength=len(cut))
         low = [np.bincount(owner[sc == r], minlength=len(cut)) for r in range(1, CUT + 1)]
         context = sv[cut]
@@ -477,6 +480,7 @@ def _weigh(discount: np.ndarray, level: int) -> Callable:
         for r in rows:
             if r[2] == 2:
                 ids, counts = _get(r[5])
+                ids = ids if level == 2 else np.cumsum(ids.astype(np.int64))
                 other = np.unpackbits(_get(r[3])[0], count=len(ids)).astype(bool)
                 seen = counts > 0
                 yield r[1], bucket, _answer(level) + 1, b"", b"", _put(weight[ids[seen & other]], plus[ids[seen]])
@@ -549,7 +553,8 @@ class Model:
             plan.discounts[k] = discounts(self._tally(rows_))
             # Buckets of contexts get their own table, who asked (turned round), and the contexts' parts.
             turned = asked.select(F.col("sub").alias("key"), F.col("key").alias("sub"), F.lit(2).alias("kind"), "a", "b", "c")
-            gathered = held.unionByName(turned).unionByName(rows_.filter("kind = 4"))
+            counts = held.select("key", "sub", "kind", F.lit(b"").alias("a"), F.lit(b"").alias("b"), "c")
+            gathered = counts.unionByName(turned).unionByName(rows_.filter("kind = 4"))
             weighed = saved(_per_key(gathered, _weigh(plan.discounts[k], k), 2 * contexts), "uncompressed")
             tidy(spark)
             asked = rows_.filter(F.col("kind") == _answer(k))
