@@ -12,12 +12,18 @@ arrays in Parquet rows in the shared folder:
   1. blocks    a block of whole documents becomes local word numbers and a local vocabulary with training counts
   2. words     buckets by word hash sum counts and number the words: the unigram table, and an answer to each block
   3. grams     for each level from 2 on, blocks send distinct grams to buckets by context, which sum them: the level's
-               table, what each context needs for its weight, and each block's counts in answer. Contexts are named by
+               counts, what each context needs for its weight, and each block's counts in answer. Contexts are named by
                the number the level below gave them; only grams whose context and whose end were seen are sent
   4. weights   for each level, what the buckets know of a context is summed in the bucket that holds it: the backoff
                weight, sent to blocks
   5. scores    a block looks up each token's longest gram, backs off level by level where it must, sums by document
 
+A word or gram that only one block mentions is alone: the bucket says so, and the block keeps the grams that follow it
+to itself, since no other block can have them. It counts them, adds them to the counts of counts and finds their
+context's weight on its own; only grams after shared contexts are sent.
+
+The blocks are a table bucketed by key, so that each step deals out the answers alone and reads blocks where they lie.
+
 Scale: a block pre-aggregates its counts, so a word or bigram that a third of all tokens have is one entry per
 block; a context with many tokens is dealt to several buckets by its next word, and the weights step adds them
 up. Blocks and buckets are of bounded size, their numbers follow the corpus, and so do the partitions they are
@@ -31,7 +37,9 @@ A text of any length is read whole; one longer than a block is a block of its ow
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_bucket, saved
+from .common import LOWER, bucketed, id_bucket, saved
 
 FOLD, HELD_OUT = 5, 1
 #: Words of the longest grams.
@@ -120,14 +128,14 @@ def _per_key(df: DataFrame, work: Callable, n: int) -> DataFrame:
 
 
 def _block(key: int, held: list[tuple[int | None, bool, list[bytes]]]) -> tuple:
-    """One row: a: token numbers and document lengths, b: the local vocabulary, c: training counts, ids, whether each is
-    for training, whether its id is null, whether held-out documents have the word."""
-    number: dict[bytes, int] = {START: 0, END: 1}
+    """One row: a: token numbers and document lengths, b: the local vocabulary and its training counts, c: ids, whether each
+    is for training, whether its id is null, whether held-out documents have the word, what deals the word to a bucket."""
+    number: dict[bytes, int] = defaultdict(count(2).__next__, {START: 0, END: 1})
     flat: list[bytes] = []
     for _, _, ws in held:
         flat += ws
         flat.append(END)
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
+    ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     lens = np.array([len(ws) + 1 for _, _, ws in held], np.int64)
     train = np.array([t for _, t, _ in held], bool)
     counts = np.bincount(ids[np.repeat(train, lens)], minlength=len(number))
@@ -136,7 +144,9 @@ def _block(key: int, held: list[tuple[int | None, bool, list[bytes]]]) -> tuple:
     other[0] = not train.all()
     docs = np.array([d or 0 for d, _, _ in held], np.int64)
     null = np.array([d is None for d, _, _ in held], "<u1")
-    return key, 0, 0, _put(_narrow(ids), _narrow(lens)), zlib.compress(b" ".join(number), 1), _put(_narrow(counts), docs, train.astype("<u1"), null, other.astype("<u1"))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)).astype("<u2")
+    vocabulary, packed = zlib.compress(b" ".join(number), 1), _put(_narrow(counts))
+    return key, 0, 0, _put(_narrow(ids), _narrow(lens)), len(packed).to_bytes(4, "little") + packed + vocabulary, _put(docs, train.astype("<u1"), null, other.astype("<u1"), hashes)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -158,17 +168,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 # --- words ------------------------------------------------------------------------------------------
 
 
-def _word_buckets(vocabulary: list[bytes], n: int) -> np.ndarray:
-    return (np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary)) % np.uint64(n)).astype(np.int64)
-
-
 def _send_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """A row per block and word bucket: key the bucket, sub the block, a which of them held-out documents have, b the words, c their counts."""
     for b in batches:
         for key, _, _, _, vocabulary, c in zip(*(x.to_pylist() for x in b.columns)):
-            words = zlib.decompress(vocabulary).split(b" ")
-            counts, _, _, _, other = _get(c)
-            where = _word_buckets(words, n)
+            cut = 4 + int.from_bytes(vocabulary[:4], "little")
+            words = zlib.decompress(vocabulary[cut:]).split(b" ")
+            (counts,) = _get(vocabulary[4:cut])
+            _, _, _, other, hashes = _get(c)
+            where = hashes.astype(np.int64) % n
             order = np.argsort(where, kind="stable")
             edges = np.searchsorted(where[order], np.arange(n + 1))
             rows = []
@@ -180,20 +188,26 @@ def _send_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
 
 
 def _sum_words(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-    """kind 1: the bucket's words and counts; kind 2: for each block its words' numbers in the bucket and their counts,
-    and what the block says of held-out documents, for the weights."""
+    """kind 1: the bucket's words and counts, most frequent first; kind 2: for each block its words' numbers in the bucket,
+    their counts and which are alone, and what the block says of held-out documents, for the weights."""
     number: dict[bytes, int] = {}
     asked = []
     for _, block, _, other, words, c in rows:
         ws = zlib.decompress(words).split(b" ")
         asked.append((block, other, np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)), _get(c)[0].astype(np.int64)))
-    total = np.zeros(len(number), np.int64)
-    for _, _, ids, counts in asked:
-        np.add.at(total, ids, counts)
-    special = np.array([w == START for w in number], "<u1")
-    yield bucket, 0, 1, b"", zlib.compress(b" ".join(number), 1), _put(_narrow(total), special)
+    total, blocks = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    for _, _, ids, counts in asked:  # a block names a word once
+        total[ids] += counts
+        blocks[ids] += 1
+    order = np.argsort(-total, kind="stable")
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    listed = list(number)
+    listed = [listed[i] for i in order.tolist()]
+    special = np.array([w == START for w in listed], "<u1")
+    yield bucket, 0, 1, b"", zlib.compress(b" ".join(listed), 1), _put(_narrow(total[order]), special)
     for block, other, ids, _ in asked:
-        yield block, bucket, 2, other, b"", _put(_narrow(ids), _narrow(total[ids]))
+        yield block, bucket, 2, other, b"", _put(_narrow(total[ids]), _narrow(back[ids]), np.packbits(blocks[ids] == 1))
 
 
 # --- discounts --------------------------------------------------------------------------------------
@@ -257,13 +271,13 @@ def _answer(level: int) -> int:
 
 
 class Units:
-    """The distinct grams of one level in a block: global counts, names and, as contexts, weights; and for each token the
-    place of the gram that ends there, -1 where there is none or it cannot have been seen."""
+    """The distinct grams of one level in a block: global counts, names and, as contexts, weights; whether no other block
+    has them; and for each token the place of the gram that ends there, -1 where there is none or it cannot have been seen."""
 
     def __init__(self, n: int, place: np.ndarray, other: np.ndarray):
         self.other = other  # held-out documents have the gram: only there does a context need its weight
         self.place, self.name, self.count = place, np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.weight, self.plus = np.ones(n), np.zeros(n, np.int64)
+        self.weight, self.plus, self.alone = np.ones(n), np.zeros(n, np.int64), np.zeros(n, bool)
 
 
 class Opened:
@@ -275,21 +289,29 @@ class Opened:
         self.plan, self.held = plan, {}
         for r in rows:
             self.held.setdefault(r[2], []).append(r)
-        self.ids, self.lens = (x.astype(np.int64) for x in _get(own[3]))
-        vocabulary = zlib.decompress(own[4]).split(b" ")
-        _, self.docs, train, null, other = _get(own[5])
+        ids, self.lens = (x.astype(np.int64) for x in _get(own[3]))
+        self.docs, train, null, other, hashes = _get(own[5])
         self.train, self.null = train.astype(bool), null.astype(bool)
         self.first = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
         self.trained = np.repeat(self.train, self.lens)
-        where = _word_buckets(vocabulary, plan.words)
+        where = hashes.astype(np.int64) % plan.words
         order = np.argsort(where, kind="stable")
         edges = np.searchsorted(where[order], np.arange(plan.words + 1))
-        unit = Units(len(vocabulary), self.ids, other.astype(bool))
+        unit = Units(len(hashes), ids, other.astype(bool))
         for _, bucket, _, _, _, c in self.held.get(2, []):
             mine = order[edges[bucket] : edges[bucket + 1]]
-            index, unit.count[mine] = _get(c)
+            unit.count[mine], index, alone = _get(c)
             unit.name[mine] = (bucket << 36) + index.astype(np.int64)
+            unit.alone[mine] = np.unpackbits(alone, count=len(mine))
         self._weigh(unit, order, edges, 6)
+        # From here on words are numbered in the order of their names.
+        order = np.argsort(unit.name)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        for x in ("other", "name", "count", "weight", "plus", "alone"):
+            setattr(unit, x, getattr(unit, x)[order])
+        self.ids = unit.place = back[ids]
+        self.start = back[0]
         self.units = {1: unit}
         self.sent = {}
         for k in range(2, level + 1):
@@ -298,19 +320,20 @@ class Opened:
     def _weigh(self, unit: Units, order: np.ndarray, edges: np.ndarray, kind: int) -> None:
         for _, bucket, _, _, _, c in self.held.get(kind, []):
             mine = order[edges[bucket] : edges[bucket + 1]]
-            mine = mine[unit.count[mine] > 0]
+            mine = mine[(unit.count[mine] > 0) & ~unit.alone[mine]]
             unit.weight[mine[unit.other[mine]]], unit.plus[mine] = _get(c)
 
     def before(self, level: int) -> np.ndarray:
         """For each token the place of the gram of a level that ends before it, -1 where there is none."""
         out = np.empty_like(self.ids)
         out[1:] = self.units[level].place[:-1]
-        out[self.first] = 0 if level == 1 else -1
+        out[self.first] = self.start if level == 1 else -1
         return out
 
     def _level(self, k: int) -> None:
-        """Distinct grams of level k, ordered by bucket, context and word: those whose context and whose end, both of
-        level k - 1, were seen in training; no other can have been."""
+        """Distinct grams of level k, ordered by bucket, context and word, those after lone contexts last: those whose
+        context and whose end, both of level k - 1, were seen in training; no other can have been. Places of level k - 1
+        rise with the names that buckets gave, so the order of places is that of names."""
         below = self.units[k - 1]
         context, end = self.before(k - 1), below.place
         able = np.ones(len(end), bool) if k == 2 else (context >= 0) & (end >= 0)
@@ -318,47 +341,91 @@ class Opened:
             able[able] = (below.count[context[able]] > 0) & (below.count[end[able]] > 0)
         at = np.flatnonzero(able)
         size = len(self.units[1].name)
-        distinct, one, place = np.unique(context[at] * size + self.ids[at], return_index=True, return_inverse=True)
-        v, w, e = distinct // size, distinct % size, end[at][one]
-        c = np.bincount(place[self.trained[at]], minlength=len(distinct))
-        other = np.bincount(place[~self.trained[at]], minlength=len(distinct)) > 0
+        key = context[at] * size + self.ids[at]
+        key, by = _sorted(key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        place = np.empty_like(by)
+        place[by] = np.cumsum(new) - 1
+        distinct = key[new]
+        v = distinct // size
+        w, e = distinct - v * size, end[at[by[new]]]
+        trained = self.trained[at]
+        c = np.bincount(place[trained], minlength=len(distinct))
+        other = np.bincount(place[~trained], minlength=len(distinct)) > 0
         buckets, word = self.plan.buckets[k], self.units[1].name
-        bucket = np.zeros(len(v), np.int64)
-        if buckets > 1:
-            spread = (below.count[v] // self.plan.hot + 1).astype(np.uint64)
-            bucket = ((_mix(below.name.astype(np.uint64))[v] + _mix(_mix(word.astype(np.uint64))[w] % spread)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((word[w], below.name[v], bucket))
+        bucket = np.full(len(v), buckets, "<u2" if buckets < 1 << 16 else "<i8")
+        shared = np.flatnonzero(~below.alone[v])
+        spread = (below.count // self.plan.hot + 1).astype(np.uint64)
+        dealt = _mix(_mix(word.astype(np.uint64))[w[shared]] % spread[v[shared]]) + _mix(below.name.astype(np.uint64))[v[shared]]
+        bucket[shared] = dealt % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         tokens = np.full(len(end), -1, np.int64)
         tokens[at] = back[place]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         unit = self.units[k] = Units(len(order), tokens, other[order])
-        self.sent[k] = v[order], w[order], e[order], c[order], edges
+        c = c[order]
+        self.sent[k] = v[order], w[order], e[order], c, edges
+        unit.alone[edges[buckets] :] = True
+        unit.count[edges[buckets] :] = c[edges[buckets] :]
         for _, b, _, _, _, packed in self.held.get(_answer(k), []):
-            *index, unit.count[edges[b] : edges[b + 1]] = _get(packed)
-            if index:
-                unit.name[edges[b] : edges[b + 1]] = (b << 36) + np.cumsum(index[0].astype(np.int64))
+            mine = slice(edges[b], edges[b + 1])
+            unit.count[mine], *more = _get(packed)
+            if more:
+                unit.name[mine] = (b << 36) + np.cumsum(more[0].astype(np.int64))
+                unit.alone[mine] = np.unpackbits(more[1], count=edges[b + 1] - edges[b])
         self._weigh(unit, np.arange(len(order)), edges, _answer(k) + 1 + 10)
+        if k in self.plan.discounts:
+            self._weigh_alone(k)
+
+    def _weigh_alone(self, k: int) -> None:
+        """The weights of this block's lone contexts of the grams of level k."""
+        below, (v, _, e, _, edges) = self.units[k - 1], self.sent[k]
+        count = self.units[k].count
+        at = np.arange(edges[-1], len(count))
+        at = at[count[at] > 0]
+        n, c, v, e = len(below.count), count[at], v[at], e[at]
+        mass = np.bincount(v, self.plan.lower(k, [below.count[e]] if k == 2 else [below.count[e], self.divisors(k - 1)[e]]), minlength=n)
+        mine = np.flatnonzero(below.alone & (below.count > 0))
+        low = np.stack([np.bincount(v[c == r], minlength=n)[mine] for r in range(1, CUT + 1)])
+        weight, divisor = weights(below.count[mine], low, mass[mine], self.plan.discounts[k])
+        below.weight[mine], below.plus[mine] = weight, divisor - below.count[mine]
 
     def divisors(self, k: int) -> np.ndarray:
         """What the counts of the grams of level k are divided by."""
         below, v = self.units[k - 1], self.sent[k][0]
         return below.count[v] + below.plus[v]
 
-    def probability(self, k: int) -> np.ndarray:
-        """Each token's probability after up to k - 1 words, backing off level by level."""
+    def probability(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The probabilities of tokens, by their places in the block, after up to k - 1 words, backing off level by level."""
+        unit = self.units[k]
         if k == 1:
-            return self.plan.unigrams.probability(self.units[1].count)[self.ids]
-        out, context, unit = self.probability(k - 1), self.before(k - 1), self.units[k]
+            return self.plan.unigrams.probability(unit.count)[self.ids[at]]
+        found = unit.place[at]
+        hit = found >= 0
+        hit[hit] = unit.count[found[hit]] > 0
+        out = np.empty(len(at))
+        out[hit] = self.plan.direct(k, unit.count, self.divisors(k))[found[hit]]
+        rest = at[~hit]
+        lower, context = self.probability(k - 1, rest), self.before(k - 1)[rest]
         known = context >= 0
-        out[known] *= self.units[k - 1].weight[context[known]]
-        at = np.flatnonzero(unit.place >= 0)
-        at = at[unit.count[unit.place[at]] > 0]
-        out[at] = self.plan.direct(k, unit.count, self.divisors(k))[unit.place[at]]
+        lower[known] *= self.units[k - 1].weight[context[known]]
+        out[~hit] = lower
         return out
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 on in order, and where each stood: sorted with their places in their low bits, where those fit."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()) >> (62 - bits):
+        by = np.argsort(key)
+        return key[by], by
+    both = np.sort(key << bits | np.arange(len(key)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an array."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -366,73 +433,105 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _tally(counts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(counts, CUT + 2), minlength=CUT + 3)[1 : CUT + 2].astype(np.int64)
+
+
 def _send_grams(plan: Plan, k: int) -> Callable:
     """A row per block and bucket of level k: a: contexts, how many words each has here, and below the longest grams which
-    held-out documents have; b: words; c: training counts
-    and what gives the words' probabilities one level lower."""
+    held-out documents have; b: the words that occur, and of each gram its word's number among these; c: training counts
+    and what gives the words' probabilities one level lower. And a row of kind 1 with the counts of counts of the grams that the block keeps."""
 
     def work(block: int, rows: list[tuple]) -> Iterator[tuple]:
         o = Opened(rows, plan, k)
         v, w, e, c, edges = o.sent[k]
         below, word = o.units[k - 1], o.units[1].name
-        lower = [below.count[e]] if k == 2 else [below.count[e], o.divisors(k - 1)[e]]
+        divisors = o.divisors(k - 1) if k > 2 else None
+        number, occurs = np.empty(len(word), np.int64), np.zeros(len(word), bool)
         for b in np.flatnonzero(np.diff(edges)):
             part = slice(edges[b], edges[b + 1])
-            nv, nw = below.name[v[part]], word[w[part]]
+            nv, local, ends = below.name[v[part]], w[part], e[part]
             cut = np.flatnonzero(np.concatenate(([True], nv[1:] != nv[:-1])))
             sizes = np.diff(np.append(cut, len(nv)))
-            # Words are stored as steps within their context, so they compress.
-            step = np.concatenate(([0], np.diff(nw)))
+            occurs[local] = True
+            words = np.flatnonzero(occurs)
+            occurs[words], number[words] = False, np.arange(len(words))
+            # Numbers are stored as steps within their context, so they compress.
+            nw = number[local]
+            step = np.diff(nw, prepend=0)
             step[cut] = nw[cut]
             other = [np.packbits(o.units[k].other[part])] if k < plan.order else []
-            yield int(b), block, 0, _put(np.diff(nv[cut], prepend=0), _narrow(sizes), *other), _put(step), _put(_narrow(c[part]), *[_narrow(x[part]) for x in lower])
+            # The words of a context share the divisor one level lower: it is that of the context's end.
+            lower = [_narrow(below.count[words])] if k == 2 else [_narrow(below.count[ends]), _narrow(divisors[ends[cut]])]
+            yield int(b), block, 0, _put(np.diff(nv[cut], prepend=0), _narrow(sizes), *other), _put(np.diff(word[words], prepend=0), _narrow(step)), _put(_narrow(c[part]), *lower)
+        yield block % plan.buckets[k], block, 1, b"", _put(_tally(c[edges[-1] :])), b""
 
     return work
 
 
 def _open_grams(row: tuple) -> list[np.ndarray]:
     contexts, sizes, *_ = _get(row[3])
-    (step,) = _get(row[4])
+    words, step = _get(row[4])
     c, *lower = _get(row[5])
-    v = np.repeat(np.cumsum(contexts), sizes)
     cut = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))[:-1]))
-    total = np.cumsum(step)
-    w = total - np.repeat(total[cut] - step[cut], sizes)
-    return [v, w, c.astype(np.int64), *[x.astype(np.int64) for x in lower]]
+    total = np.cumsum(step.astype(np.int64))
+    number = total - np.repeat(total[cut] - step[cut], sizes)
+    lower = [lower[0], np.repeat(lower[1], sizes)] if len(lower) > 1 else [lower[0][number]]
+    return [np.cumsum(contexts), sizes, np.cumsum(words)[number], c.astype(np.int64), *[x.astype(np.int64) for x in lower]]
+
+
+def _by_gram(contexts: np.ndarray, sizes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(v, order, new): each gram's context; the order by context and word; where in it another gram begins."""
+    v = np.repeat(contexts, sizes)
+    names, number = np.unique(contexts, return_inverse=True)
+    index = w & ((1 << 36) - 1)
+    most = int(index.max()) + 1
+    dense = (w >> 36) * most + index  # in the order of w
+    span = int(dense.max()) + 1
+    if len(names) * span >= 1 << 63:
+        order = np.lexsort((w, v))
+        same = (v[order][1:] == v[order][:-1]) & (w[order][1:] == w[order][:-1])
+    else:
+        key, order = _sorted(np.repeat(number, sizes) * span + dense)
+        same = key[1:] == key[:-1]
+    return v, order, np.concatenate(([True], ~same))
 
 
 def _sum_grams(plan: Plan, k: int) -> Callable:
-    """kind 3: the bucket's grams; kind 4: for each bucket of contexts what its contexts need; and answers to blocks:
-    counts, and below the top level before them the grams' numbers, and a: which held-out documents have."""
+    """kind 3: the counts of the bucket's grams; kind 9: its counts of counts; kind 4: for each bucket of contexts what its
+    contexts need; and answers to blocks: counts, and below the top level before them the grams' numbers and after them
+    which grams are alone, and a: which held-out documents have."""
     top = k == plan.order
 
     def work(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+        tally = sum((_get(r[4])[0] for r in rows if r[2] == 1), np.zeros(CUT + 1, np.int64))
+        rows = [r for r in rows if r[2] == 0]
+        if not rows:
+            yield bucket, 0, 9, b"", _put(tally), b""
+            return
         opened = [_open_grams(r) for r in rows]
-        sizes = [len(x[0]) for x in opened]
-        v, w, c, *lower = (np.concatenate(x) for x in zip(*opened))
+        ends = np.cumsum([len(x[2]) for x in opened])[:-1]
+        contexts, sizes, w, c, *lower = (np.concatenate(x) for x in zip(*opened))
         del opened
-        order = np.lexsort((w, v))
-        new = np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])))
+        v, order, new = _by_gram(contexts, sizes, w)
         place = np.empty(len(v), np.int64)
         place[order] = np.cumsum(new) - 1
         total = np.bincount(place, c, minlength=int(new.sum())).astype(np.int64)
+        alone = np.bincount(place, minlength=len(total)) == 1  # a block names a gram once
         seen = total > 0
         number = np.maximum(np.cumsum(seen) - 1, 0)  # rises with place, so steps are stored
-        ends = np.cumsum(sizes)[:-1]
         for row, mine in zip(rows, np.split(place, ends)):
             other = b"" if top else _put(_get(row[3])[2])
-            yield row[1], bucket, _answer(k), other, b"", _put(*([] if top else [_narrow(np.diff(number[mine], prepend=0))]), _narrow(total[mine]))
+            yield row[1], bucket, _answer(k), other, b"", _put(_narrow(total[mine]), *([] if top else [_narrow(np.diff(number[mine], prepend=0)), np.packbits(alone[mine])]))
         keep = order[new][seen]
-        sv, sw, sc = v[keep], w[keep], total[seen]
+        sv, sc = v[keep], total[seen]
+        yield bucket, 0, 9, b"", _put(tally + _tally(sc)), b""
         if not len(sv):
             return
-        cut = np.flatnonzero(np.concatenate(([True], sv[1:] != sv[:-1])))
-        tally = np.bincount(np.minimum(sc, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-        many = np.diff(np.append(cut, len(sv)))
-        step = np.diff(sw, prepend=0)
-        step[cut] = sw[cut]
-        yield bucket, 0, 3, _put(np.diff(sv[cut], prepend=0), _narrow(many), step), _put(tally.astype(np.int64)), _put(_narrow(sc))
-        owner = np.repeat(np.arange(len(cut)), many)
+        if not top:
+            yield bucket, 0, 3, b"", b"", _put(_narrow(sc))
+        new = np.concatenate(([True], sv[1:] != sv[:-1]))
+        cut, owner = np.flatnonzero(new), np.cumsum(new) - 1
         mass = np.bincount(owner, plan.lower(k, [x[keep] for x in lower]), minlength=len(cut))
         low = [np.bincount(owner[sc == r], minlength=len(cut)) for r in range(1, CUT + 1)]
         context = sv[cut]
@@ -461,7 +560,7 @@ def weights(count: np.ndarray, low: np.ndarray, mass: np.ndarray, discount: np.n
 def _weigh(discount: np.ndarray, level: int) -> Callable:
     """Rows of a bucket of contexts (kind 1 or 3 what it holds, 2 who asked, 4 parts) → for each block that asked the
     weights, of contexts that its held-out documents have (all that training documents hold was seen), and divisors of the
-    contexts seen in training. level: that of the grams they are contexts of."""
+    contexts seen in training, lone ones left out. level: that of the grams they are contexts of."""
 
     def work(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
         held = [_get(r[5])[0] for r in rows if r[2] in (1, 3)]
@@ -479,10 +578,10 @@ def _weigh(discount: np.ndarray, level: int) -> Callable:
         plus = (divisor - count).astype("<u1")
         for r in rows:
             if r[2] == 2:
-                ids, counts = _get(r[5])
+                counts, ids, alone = _get(r[5])
                 ids = ids if level == 2 else np.cumsum(ids.astype(np.int64))
                 other = np.unpackbits(_get(r[3])[0], count=len(ids)).astype(bool)
-                seen = counts > 0
+                seen = (counts > 0) & ~np.unpackbits(alone, count=len(ids)).astype(bool)
                 yield r[1], bucket, _answer(level) + 1, b"", b"", _put(weight[ids[seen & other]], plus[ids[seen]])
 
     return work
@@ -495,30 +594,32 @@ SCORES_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_s
 
 
 def _score(plan: Plan, order: int, types: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
-            o = Opened(rows, plan, order)
-            count = o.units[1].count
-            logs = np.log10(o.probability(order))
-            base = np.log10((count + 0.5) / (plan.unigrams.total + 0.5 * (types + 1)))
-            sums = [np.add.reduceat(x, o.first) for x in ((count[o.ids] > 0).astype(np.int64), base[o.ids], logs)]
-            cols = [pa.array(o.docs, mask=o.null), *map(pa.array, (~o.train, o.lens, *sums))]
-            yield pa.RecordBatch.from_arrays(cols, schema=SCORES)
+    def work(rows: list[tuple]) -> pa.Table:
+        o = Opened(rows, plan, order)
+        count = o.units[1].count
+        logs = np.log10(o.probability(order, np.arange(len(o.ids))))
+        base = np.log10((count + 0.5) / (plan.unigrams.total + 0.5 * (types + 1)))
+        sums = [np.add.reduceat(x, o.first) for x in ((count[o.ids] > 0).astype(np.int64), base[o.ids], logs)]
+        cols = [pa.array(o.docs, mask=o.null), *map(pa.array, (~o.train, o.lens, *sums))]
+        return pa.Table.from_arrays(cols, schema=SCORES)
 
-    return run
+    return work
 
 
 def tidy(spark) -> None:
-    """Lets go of shuffle files of steps that are over: their results are tables by now."""
+    """Lets go of shuffle files of steps that are over: their results are tables by now. Spark's threads hold on to the last
+    query until another has run, so an empty one does."""
     import gc
 
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 class Model:
-    """The tables of a fitted model and the blocks it was fitted on: unigrams (kind 1) and the grams of each level (kind 3)
-    are partitioned by their buckets; driver-side there are only totals, discounts and bucket numbers."""
+    """A fitted model and the blocks it was fitted on. unigram_rows: the words and their counts (kind 1), by buckets;
+    answers: what blocks have been told of their words and grams. Driver-side there are only totals, discounts and bucket
+    numbers."""
 
     def __init__(self, rows: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, bucket_words: int = BUCKET_WORDS, bucket_grams: int = BUCKET_GRAMS, hot: int = HOT_CONTEXT):
         """rows: doc_id (long), train (boolean), text."""
@@ -526,31 +627,34 @@ class Model:
             raise ValueError("order must be two or more")
         spark = rows.sparkSession
         self.order = order
-        self.blocks = saved(rows.select("doc_id", "train", "text").mapInArrow(lambda it: _blocks(it, block_tokens), ROW), "uncompressed")
-        sizes = self.blocks.select(F.octet_length("b").cast("bigint").alias("b"), F.octet_length("a").cast("bigint").alias("a")).agg(F.sum("b"), F.sum("a"), F.count(F.lit(1))).first()
-        self.block_parts = parts = max(1, 2 * sizes[2])  # two a block, so that few blocks share a task
+        # Two partitions a block, at about six bytes a token, so that few blocks share a task.
+        volume = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+        parts = 2 * (volume // (6 * block_tokens) + 1)
+        blocks = bucketed(rows.select("doc_id", "train", "text").mapInArrow(lambda it: _blocks(it, block_tokens), ROW), parts, "key", "uncompressed")
+        sizes = blocks.select(F.octet_length("b").cast("bigint").alias("b"), F.octet_length("a").cast("bigint").alias("a")).agg(F.sum("b"), F.sum("a")).first()
         # A compressed vocabulary takes about four bytes a word, token numbers about two a token.
-        words = max(1, int((sizes[0] or 0) / 4 / bucket_words) + 1)
+        words = min(1 << 16, int((sizes[0] or 0) / 4 / bucket_words) + 1)
         tokens = (sizes[1] or 0) / 2
-        self.plan = plan = Plan(words, [0, 0, *[max(1, int(tokens * min(1, 0.5 + 0.1 * k) / bucket_grams) + 1) for k in range(2, order + 1)]], hot)
-        sent = self.blocks.mapInArrow(lambda it: _send_words(it, words), ROW)
+        # Distinct grams after shared words or grams, which alone are sent, are under half of the tokens at any level.
+        self.plan = plan = Plan(words, [0, 0, *[int(tokens * 0.5 / bucket_grams) + 1 for _ in range(2, order + 1)]], hot)
+        sent = blocks.mapInArrow(lambda it: _send_words(it, words), ROW)
         self.unigram_rows = saved(_per_key(sent, _sum_words, 2 * words), "uncompressed")
-        tidy(spark)
         n, total, types = self._unigram_totals()
+        tidy(spark)
         self.types = types
         if total:
             plan.unigrams = Unigrams(n, total)
         asked = self.unigram_rows.filter("kind = 2")
         answer = ["key", "sub", "kind", F.lit(b"").alias("a"), "b", "c"]  # what a block said itself need not go back
         held, contexts = self.unigram_rows.filter("kind = 1"), words
-        self.known = self.blocks.unionByName(asked.select(*answer))  # what blocks have and have been answered
-        self.gram_rows = {}
+        self.blocks = blocks.select("key", "sub", "kind", "a", F.lit(b"").alias("b"), "c")  # the vocabulary has been sent
+        self.answers = asked.select(*answer)
         for k in range(2, order + 1):
             buckets = plan.buckets[k]
-            out = _per_key(self.known, _send_grams(plan, k), parts)
-            rows_ = self.gram_rows[k] = saved(_per_key(out, _sum_grams(plan, k), 2 * buckets), "uncompressed")
-            tidy(spark)
+            out = self._per_block(_send_grams(plan, k))
+            rows_ = saved(_per_key(out, _sum_grams(plan, k), 2 * buckets), "uncompressed")
             plan.discounts[k] = discounts(self._tally(rows_))
+            tidy(spark)
             # Buckets of contexts get their own table, who asked (turned round), and the contexts' parts.
             turned = asked.select(F.col("sub").alias("key"), F.col("key").alias("sub"), F.lit(2).alias("kind"), "a", "b", "c")
             counts = held.select("key", "sub", "kind", F.lit(b"").alias("a"), F.lit(b"").alias("b"), "c")
@@ -559,7 +663,18 @@ class Model:
             tidy(spark)
             asked = rows_.filter(F.col("kind") == _answer(k))
             held, contexts = rows_.filter("kind = 3"), buckets
-            self.known = self.known.unionByName(asked.select(*answer)).unionByName(weighed)
+            self.answers = self.answers.unionByName(asked.select(*answer)).unionByName(weighed)
+
+    def _with_answers(self, work: Callable[[list[tuple]], pa.Table], schema: str) -> DataFrame:
+        """work(rows) of each block: its own row and all it has been answered."""
+
+        def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+            return work([r for t in (own, answers) for r in zip(*(c.to_pylist() for c in t.columns))])
+
+        return self.blocks.groupBy("key").cogroup(self.answers.groupBy("key")).applyInArrow(run, schema)
+
+    def _per_block(self, work: Callable) -> DataFrame:
+        return self._with_answers(lambda rows: pa.Table.from_batches([_batch([x]) for x in work(rows[0][0], rows)], ROWS), ROW)
 
     def _unigram_totals(self) -> tuple[list[int], int, int]:
         def run(batches):
@@ -582,13 +697,12 @@ class Model:
                     yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in _get(x)[0]], names=names)
 
         names = [f"n{r}" for r in range(1, CUT + 2)]
-        found = rows.filter("kind = 3").select("b").mapInArrow(run, ", ".join(f"{x} long" for x in names)).agg(*[F.sum(x) for x in names]).first()
+        found = rows.filter("kind = 9").select("b").mapInArrow(run, ", ".join(f"{x} long" for x in names)).agg(*[F.sum(x) for x in names]).first()
         return [int(x or 0) for x in found]
 
     def scores(self) -> DataFrame:
         """(doc_id, held_out, n_tokens, n_known, base_score, score) of the documents of the blocks."""
-        ordered = self.known.repartition(self.block_parts, "key").sortWithinPartitions("key", "kind", "sub")
-        return ordered.mapInArrow(_score(self.plan, self.order, self.types), SCORES_SQL)
+        return self._with_answers(_score(self.plan, self.order, self.types), SCORES_SQL)
 
 
 def scored(docs: DataFrame, order: int = ORDER, **sizes: int) -> DataFrame:

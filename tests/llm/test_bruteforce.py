@@ -167,6 +167,19 @@ def test_katz(small, order, sizes):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
 
 
+def test_katz_sends_no_lone_grams(small):
+    """Grams after words that one block alone has stay there, and blocks are read where they lie."""
+    docs = small.select("doc_id", F.lit(True).alias("train"), "text")
+    one = katz.Model(docs, 3)
+    assert {r["kind"] for r in one.answers.select("kind").distinct().collect()} <= {2, 6, 16}
+    cut = katz.Model(docs, 3, block_tokens=4000, bucket_grams=3000)
+    sent = [r["c"] for r in cut.answers.filter("kind = 15").collect()]
+    blocks = [katz._get(r["a"])[0] for r in cut.blocks.collect()]
+    assert len(blocks) > 1 and 0 < sum(len(katz._get(c)[0]) for c in sent) < sum(map(len, blocks)) / 2
+    plan = one.scores()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 # --- 5 sketches
 
 
