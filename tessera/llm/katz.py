@@ -18,9 +18,13 @@ arrays in Parquet rows in the shared folder:
                weight, sent to blocks
   5. scores    a block looks up each token's longest gram, backs off level by level where it must, sums by document
 
-A word or gram that only one block mentions is alone: the bucket says so, and the block keeps the grams that follow it
-to itself, since no other block can have them. It counts them, adds them to the counts of counts and finds their
-context's weight on its own; only grams after shared contexts are sent.
+A word or gram that only one block mentions is alone: the bucket says so, and the block keeps the grams that follow it or
+end in it to itself, since no other block can have them. It counts them, adds them to the counts of counts and finds the
+weights of lone contexts on its own. Of a gram that is alone by its end, after a shared context, it sends what that
+context's weight needs, the two counts, and no word, and is sent nothing back. Other grams after shared contexts are sent.
+
+What the words after a context weigh one level lower travels as whole numbers: how many of them have which count there.
+Whoever finds a weight has the discounts and the divisor, so sums are exact whatever their order.
 
 The blocks are a table bucketed by key, so that each step deals out the answers alone and reads blocks where they lie.
 
@@ -43,12 +47,13 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bucketed, id_bucket, saved
+from .common import bucketed, id_bucket, saved
 
 FOLD, HELD_OUT = 5, 1
 #: Words of the longest grams.
@@ -61,6 +66,8 @@ BLOCK_TOKENS = 1_500_000
 BUCKET_WORDS, BUCKET_GRAMS = 400_000, 1_200_000
 #: Tokens of a context from which on it is dealt to one more bucket.
 HOT_CONTEXT = 1_000_000
+#: Tokens up to which contexts are dealt to buckets by stripes of so many bits of their names: at most 65,536 tokens each.
+RARE, STRIPE = 64, 10
 END, START = b"\n", b"\t"  # no word holds white space
 
 ROW = "key long, sub long, kind int, a binary, b binary, c binary"
@@ -87,12 +94,24 @@ def _get(packed: bytes) -> list[np.ndarray]:
     return out
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(LOWER).split()
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of each text, and their number; a text without words has one empty word, which does not count."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.equal(pc.list_element(lists, 0), "").to_numpy(zero_copy_only=False)
+    return lists, np.where(blank, 0, sizes)
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    words = pa.concat_arrays([words.cast(pa.large_binary())])
+    offsets, data = np.frombuffer(words.buffers()[1], np.int64)[words.offset :][: len(words) + 1].tolist(), words.buffers()[2]
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in zip(offsets, offsets[1:])]
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype("<u4") if not len(x) or x.max() < 1 << 32 else x.astype("<u8")
+    most = int(x.max()) if len(x) else 0
+    return x.astype(next(t for bits, t in ((8, "u1"), (16, "<u2"), (32, "<u4"), (64, "<u8")) if most < 1 << bits))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -127,16 +146,18 @@ def _per_key(df: DataFrame, work: Callable, n: int) -> DataFrame:
 # --- blocks -----------------------------------------------------------------------------------------
 
 
-def _block(key: int, held: list[tuple[int | None, bool, list[bytes]]]) -> tuple:
+def _block(key: int, held: list[tuple[int | None, bool, int]], texts: list[pa.Array]) -> tuple:
     """One row: a: token numbers and document lengths, b: the local vocabulary and its training counts, c: ids, whether each
-    is for training, whether its id is null, whether held-out documents have the word, what deals the word to a bucket."""
-    number: dict[bytes, int] = defaultdict(count(2).__next__, {START: 0, END: 1})
-    flat: list[bytes] = []
-    for _, _, ws in held:
-        flat += ws
-        flat.append(END)
-    ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    lens = np.array([len(ws) + 1 for _, _, ws in held], np.int64)
+    is for training, whether its id is null, whether held-out documents have the word, what deals the word to a bucket.
+    held: id, whether for training and number of words of each document; texts: their words."""
+    flat = [x.filter(pc.not_equal(x, "")) for x in (x.flatten() for x in texts)]
+    coded = pa.chunked_array(flat).dictionary_encode()
+    number = [START, END, *(_listed(coded.chunks[-1].dictionary) if coded.num_chunks else [])]
+    lens = np.array([n + 1 for _, _, n in held], np.int64)
+    word = np.ones(lens.sum(), bool)
+    word[np.cumsum(lens) - 1] = False
+    ids = np.ones(len(word), np.int64)
+    ids[word] = np.concatenate([np.zeros(0, np.int64), *(x.indices.to_numpy() for x in coded.chunks)]) + 2
     train = np.array([t for _, t, _ in held], bool)
     counts = np.bincount(ids[np.repeat(train, lens)], minlength=len(number))
     counts[0] = train.sum()  # the start is a context, not a token
@@ -152,17 +173,22 @@ def _block(key: int, held: list[tuple[int | None, bool, list[bytes]]]) -> tuple:
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     import uuid
 
-    held, size = [], 0
+    held, texts, size = [], [], 0
     for b in batches:
-        for doc, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            ws = _words(text.as_py())
-            if held and size + len(ws) >= most:
-                yield _batch([_block(uuid.uuid4().int >> 65, held)])
-                held, size = [], 0
-            held.append((doc, train, ws))
-            size += len(ws) + 1
+        lists, sizes = _words(b.column(2))
+        start = 0
+        for i, (doc, train, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sizes.tolist())):
+            if held and size + n >= most:
+                yield _batch([_block(uuid.uuid4().int >> 65, held, [*texts, lists[start:i]])])
+                held, texts, size, start = [], [], 0, i
+                pa.default_memory_pool().release_unused()  # a worker lives on
+            held.append((doc, train, n))
+            size += n + 1
+        texts.append(lists[start:])
     if held:
-        yield _batch([_block(uuid.uuid4().int >> 65, held)])
+        yield _batch([_block(uuid.uuid4().int >> 65, held, texts)])
+        del held, texts
+        pa.default_memory_pool().release_unused()
 
 
 # --- words ------------------------------------------------------------------------------------------
@@ -188,13 +214,13 @@ def _send_words(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
 
 
 def _sum_words(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-    """kind 1: the bucket's words and counts, most frequent first; kind 2: for each block its words' numbers in the bucket,
-    their counts and which are alone, and what the block says of held-out documents, for the weights."""
-    number: dict[bytes, int] = {}
+    """kind 1: the bucket's words and counts, most frequent first; kind 2: for each block the counts and numbers in the
+    bucket of its words that are not alone, and which are, and what the block says of held-out documents, for the weights."""
+    number: dict[bytes, int] = defaultdict(count().__next__)
     asked = []
     for _, block, _, other, words, c in rows:
         ws = zlib.decompress(words).split(b" ")
-        asked.append((block, other, np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)), _get(c)[0].astype(np.int64)))
+        asked.append((block, other, np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)), _get(c)[0].astype(np.int64)))
     total, blocks = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     for _, _, ids, counts in asked:  # a block names a word once
         total[ids] += counts
@@ -207,7 +233,8 @@ def _sum_words(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
     special = np.array([w == START for w in listed], "<u1")
     yield bucket, 0, 1, b"", zlib.compress(b" ".join(listed), 1), _put(_narrow(total[order]), special)
     for block, other, ids, _ in asked:
-        yield block, bucket, 2, other, b"", _put(_narrow(total[ids]), _narrow(back[ids]), np.packbits(blocks[ids] == 1))
+        alone = blocks[ids] == 1
+        yield block, bucket, 2, other, b"", _put(_narrow(total[ids[~alone]]), _narrow(back[ids[~alone]]), np.packbits(alone))
 
 
 # --- discounts --------------------------------------------------------------------------------------
@@ -258,11 +285,16 @@ class Plan:
         factor = np.concatenate(([0.0], self.discounts[level], [1.0]))[np.minimum(counts, CUT + 1)]
         return factor * counts / np.maximum(divisors, 1)
 
-    def lower(self, level: int, arrays: list[np.ndarray]) -> np.ndarray:
-        """The next lower level's probabilities, of what blocks send beside the grams of a level."""
-        if level == 2:
-            return self.unigrams.probability(arrays[0])
-        return self.direct(level - 1, arrays[0].astype(np.int64), arrays[1].astype(np.int64))
+    def home(self, level: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that hold contexts of grams of a level, and their numbers there. Words are named so that frequent
+        ones come first whatever their bucket, which makes steps between them short."""
+        return (names % self.words, names // self.words) if level == 2 else (names >> 36, names & ((1 << 36) - 1))
+
+    def mass(self, level: int, lower: np.ndarray) -> np.ndarray:
+        """What the words after contexts of a level weigh one level lower, before it is divided by that level's divisor (at
+        level 2 by all): lower[r - 1] of them have the count r there, those with larger counts the counts in the last row."""
+        discount = self.unigrams.discount if level == 2 else self.discounts[level - 1]
+        return np.append(discount * np.arange(1, CUT + 1), 1.0) @ lower
 
 
 def _answer(level: int) -> int:
@@ -274,10 +306,12 @@ class Units:
     """The distinct grams of one level in a block: global counts, names and, as contexts, weights; whether no other block
     has them; and for each token the place of the gram that ends there, -1 where there is none or it cannot have been seen."""
 
-    def __init__(self, n: int, place: np.ndarray, other: np.ndarray):
+    def __init__(self, n: int, place: np.ndarray, other: np.ndarray, contexts: bool = True):
         self.other = other  # held-out documents have the gram: only there does a context need its weight
-        self.place, self.name, self.count = place, np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.weight, self.plus, self.alone = np.ones(n), np.zeros(n, np.int64), np.zeros(n, bool)
+        self.place, self.count, self.alone = place, np.zeros(n, np.int64), np.zeros(n, bool)
+        if contexts:  # the longest grams are none
+            self.name = np.arange(n) + (1 << 60)  # lone ones keep this, which follows all others
+            self.weight, self.plus = np.ones(n), np.zeros(n, "u1")
 
 
 class Opened:
@@ -298,30 +332,44 @@ class Opened:
         order = np.argsort(where, kind="stable")
         edges = np.searchsorted(where[order], np.arange(plan.words + 1))
         unit = Units(len(hashes), ids, other.astype(bool))
+        unit.count = np.bincount(ids[self.trained], minlength=len(hashes))
+        unit.count[0] = self.train.sum()
         for _, bucket, _, _, _, c in self.held.get(2, []):
             mine = order[edges[bucket] : edges[bucket + 1]]
-            unit.count[mine], index, alone = _get(c)
-            unit.name[mine] = (bucket << 36) + index.astype(np.int64)
+            counts, index, alone = _get(c)
             unit.alone[mine] = np.unpackbits(alone, count=len(mine))
-        self._weigh(unit, order, edges, 6)
+            mine = mine[~unit.alone[mine]]
+            unit.count[mine], unit.name[mine] = counts, index.astype(np.int64) * plan.words + bucket
+        self._weigh(unit, order, edges, 2)
         # From here on words are numbered in the order of their names.
         order = np.argsort(unit.name)
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         for x in ("other", "name", "count", "weight", "plus", "alone"):
             setattr(unit, x, getattr(unit, x)[order])
-        self.ids = unit.place = back[ids]
+        self.ids = unit.place = back[ids].astype(np.int32)
         self.start = back[0]
         self.units = {1: unit}
         self.sent = {}
         for k in range(2, level + 1):
             self._level(k)
+        del self.held
 
-    def _weigh(self, unit: Units, order: np.ndarray, edges: np.ndarray, kind: int) -> None:
-        for _, bucket, _, _, _, c in self.held.get(kind, []):
+    def _weigh(self, unit: Units, order: np.ndarray, edges: np.ndarray, k: int) -> None:
+        """The weights of shared contexts of the grams of level k, from what their buckets know of them."""
+        for _, bucket, _, _, _, c in self.held.get(_answer(k) + 1, []):
             mine = order[edges[bucket] : edges[bucket + 1]]
             mine = mine[(unit.count[mine] > 0) & ~unit.alone[mine]]
-            unit.weight[mine[unit.other[mine]]], unit.plus[mine] = _get(c)
+            *known, unit.plus[mine] = _get(c)
+            mine = mine[unit.other[mine]]
+            known = np.stack(known)
+            mass = self.plan.mass(k, known[CUT:])
+            if k == 2:
+                mass = mass * self.plan.unigrams.scale
+            else:
+                shorter, e = self.units[k - 2], self.sent[k - 1][2][mine]
+                mass = mass / (shorter.count[e] + shorter.plus[e])
+            unit.weight[mine], _ = weights(unit.count[mine], known[:CUT], mass, self.plan.discounts[k])
 
     def before(self, level: int) -> np.ndarray:
         """For each token the place of the gram of a level that ends before it, -1 where there is none."""
@@ -331,7 +379,7 @@ class Opened:
         return out
 
     def _level(self, k: int) -> None:
-        """Distinct grams of level k, ordered by bucket, context and word, those after lone contexts last: those whose
+        """Distinct grams of level k, ordered by bucket, context and word, those that are alone by context or end last: those whose
         context and whose end, both of level k - 1, were seen in training; no other can have been. Places of level k - 1
         rise with the names that buckets gave, so the order of places is that of names."""
         below = self.units[k - 1]
@@ -341,42 +389,54 @@ class Opened:
             able[able] = (below.count[context[able]] > 0) & (below.count[end[able]] > 0)
         at = np.flatnonzero(able)
         size = len(self.units[1].name)
-        key = context[at] * size + self.ids[at]
-        key, by = _sorted(key)
+        key, by = _sorted(context[at].astype(np.int64) * size + self.ids[at])
+        del context
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        place = np.empty_like(by)
+        first = np.flatnonzero(new)
+        place = np.empty(len(by), np.int32)
         place[by] = np.cumsum(new) - 1
-        distinct = key[new]
+        distinct = key[first]
         v = distinct // size
-        w, e = distinct - v * size, end[at[by[new]]]
-        trained = self.trained[at]
-        c = np.bincount(place[trained], minlength=len(distinct))
-        other = np.bincount(place[~trained], minlength=len(distinct)) > 0
+        w = (distinct - v * size).astype(np.int32)
+        v = v.astype(np.int32)
+        e = w if k == 2 else end[at[by[first]]]
+        c = np.bincount(place[self.trained[at]], minlength=len(distinct))
+        other = np.diff(np.append(first, len(key))) > c
+        del key, by, new, first
+        # Contexts are dealt by name, rare ones in stripes of names, so that steps between those of a message stay short
+        # however many buckets there are; those with many tokens by their next words too; lone ones to none.
         buckets, word = self.plan.buckets[k], self.units[1].name
-        bucket = np.full(len(v), buckets, "<u2" if buckets < 1 << 16 else "<i8")
-        shared = np.flatnonzero(~below.alone[v])
-        spread = (below.count // self.plan.hot + 1).astype(np.uint64)
-        dealt = _mix(_mix(word.astype(np.uint64))[w[shared]] % spread[v[shared]]) + _mix(below.name.astype(np.uint64))[v[shared]]
-        bucket[shared] = dealt % np.uint64(buckets)
+        striped = np.where(below.count <= RARE, below.name >> STRIPE << STRIPE, below.name)
+        mixed, spread = _mix(striped.astype(np.uint64)), below.count // self.plan.hot + 1
+        to = (mixed % np.uint64(buckets)).astype("<u2" if buckets < 1 << 16 else "<i8")
+        to[below.alone] = buckets
+        dealt = to[v]
+        hot = np.flatnonzero((~below.alone & (spread > 1))[v])
+        dealt[hot] = (_mix(_mix(word[w[hot]].astype(np.uint64)) % spread[v[hot]].astype(np.uint64)) + mixed[v[hot]]) % np.uint64(buckets)
+        bucket = np.where(below.alone[e], dealt.dtype.type(buckets), dealt)
         order = np.argsort(bucket, kind="stable")
-        back = np.empty_like(order)
+        back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order))
-        tokens = np.full(len(end), -1, np.int64)
+        tokens = np.full(len(end), -1, np.int32)
         tokens[at] = back[place]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        unit = self.units[k] = Units(len(order), tokens, other[order])
+        unit = self.units[k] = Units(len(order), tokens, other[order], k < self.plan.order)
         c = c[order]
         self.sent[k] = v[order], w[order], e[order], c, edges
+        self.dealt = dealt, back
         unit.alone[edges[buckets] :] = True
-        unit.count[edges[buckets] :] = c[edges[buckets] :]
+        unit.count = c.copy()
         for _, b, _, _, _, packed in self.held.get(_answer(k), []):
+            counts, alone, *steps = _get(packed)
             mine = slice(edges[b], edges[b + 1])
-            unit.count[mine], *more = _get(packed)
-            if more:
-                unit.name[mine] = (b << 36) + np.cumsum(more[0].astype(np.int64))
-                unit.alone[mine] = np.unpackbits(more[1], count=edges[b + 1] - edges[b])
-        self._weigh(unit, np.arange(len(order)), edges, _answer(k) + 1 + 10)
+            unit.alone[mine] = np.unpackbits(alone, count=edges[b + 1] - edges[b])
+            mine = edges[b] + np.flatnonzero(~unit.alone[mine])
+            unit.count[mine] = counts
+            if steps:
+                unit.name[mine] = (b << 36) + np.cumsum(steps[0].astype(np.int64))
+        if k < self.plan.order:
+            self._weigh(unit, np.arange(len(order)), edges, k + 1)
         if k in self.plan.discounts:
             self._weigh_alone(k)
 
@@ -385,17 +445,18 @@ class Opened:
         below, (v, _, e, _, edges) = self.units[k - 1], self.sent[k]
         count = self.units[k].count
         at = np.arange(edges[-1], len(count))
-        at = at[count[at] > 0]
+        at = at[(count[at] > 0) & below.alone[v[at]]]
         n, c, v, e = len(below.count), count[at], v[at], e[at]
-        mass = np.bincount(v, self.plan.lower(k, [below.count[e]] if k == 2 else [below.count[e], self.divisors(k - 1)[e]]), minlength=n)
+        lower = self.plan.unigrams.probability(below.count[e]) if k == 2 else self.plan.direct(k - 1, below.count[e], self.divisors(k - 1, e))
+        mass = np.bincount(v, lower, minlength=n)
         mine = np.flatnonzero(below.alone & (below.count > 0))
         low = np.stack([np.bincount(v[c == r], minlength=n)[mine] for r in range(1, CUT + 1)])
         weight, divisor = weights(below.count[mine], low, mass[mine], self.plan.discounts[k])
         below.weight[mine], below.plus[mine] = weight, divisor - below.count[mine]
 
-    def divisors(self, k: int) -> np.ndarray:
-        """What the counts of the grams of level k are divided by."""
-        below, v = self.units[k - 1], self.sent[k][0]
+    def divisors(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """What the counts of the grams of level k at these places are divided by."""
+        below, v = self.units[k - 1], self.sent[k][0][at]
         return below.count[v] + below.plus[v]
 
     def probability(self, k: int, at: np.ndarray) -> np.ndarray:
@@ -438,69 +499,80 @@ def _tally(counts: np.ndarray) -> np.ndarray:
 
 
 def _send_grams(plan: Plan, k: int) -> Callable:
-    """A row per block and bucket of level k: a: contexts, how many words each has here, and below the longest grams which
-    held-out documents have; b: the words that occur, and of each gram its word's number among these; c: training counts
-    and what gives the words' probabilities one level lower. And a row of kind 1 with the counts of counts of the grams that the block keeps."""
+    """A row per block and bucket of level k: a: contexts, how many words each has here, which of these make grams that are
+    alone by their end, and below the longest grams which others held-out documents have; b: the words that occur, and of each
+    gram not alone its word's number among these; c: training counts and the words' counts one level lower (at level 2 of
+    the words that occur), and both for lone grams that training documents have. And a row of kind 1 with the counts of
+    counts of the grams that the block keeps."""
 
     def work(block: int, rows: list[tuple]) -> Iterator[tuple]:
         o = Opened(rows, plan, k)
+        rows.clear()
         v, w, e, c, edges = o.sent[k]
         below, word = o.units[k - 1], o.units[1].name
-        divisors = o.divisors(k - 1) if k > 2 else None
+        dealt, back = o.dealt
+        order = np.argsort(dealt, kind="stable")
+        cuts = np.searchsorted(dealt[order], np.arange(plan.buckets[k] + 1))
+        at = back[order[: cuts[-1]]]
+        lone = at >= edges[-1]
+        told = ~lone | (c[at] > 0)
+        at, lone, cuts = at[told], lone[told], np.concatenate(([0], np.cumsum(told)))[cuts]
         number, occurs = np.empty(len(word), np.int64), np.zeros(len(word), bool)
-        for b in np.flatnonzero(np.diff(edges)):
-            part = slice(edges[b], edges[b + 1])
-            nv, local, ends = below.name[v[part]], w[part], e[part]
+        for b in np.flatnonzero(np.diff(cuts)):
+            part, apart = at[cuts[b] : cuts[b + 1]], lone[cuts[b] : cuts[b + 1]]
+            nv, plain, rest = below.name[v[part]], slice(edges[b], edges[b + 1]), part[apart]
             cut = np.flatnonzero(np.concatenate(([True], nv[1:] != nv[:-1])))
             sizes = np.diff(np.append(cut, len(nv)))
+            local, ends = w[plain], e[plain]
             occurs[local] = True
             words = np.flatnonzero(occurs)
             occurs[words], number[words] = False, np.arange(len(words))
             # Numbers are stored as steps within their context, so they compress.
-            nw = number[local]
+            nw, first = number[local], _firsts(v[plain])
             step = np.diff(nw, prepend=0)
-            step[cut] = nw[cut]
-            other = [np.packbits(o.units[k].other[part])] if k < plan.order else []
-            # The words of a context share the divisor one level lower: it is that of the context's end.
-            lower = [_narrow(below.count[words])] if k == 2 else [_narrow(below.count[ends]), _narrow(divisors[ends[cut]])]
-            yield int(b), block, 0, _put(np.diff(nv[cut], prepend=0), _narrow(sizes), *other), _put(np.diff(word[words], prepend=0), _narrow(step)), _put(_narrow(c[part]), *lower)
+            step[first] = nw[first]
+            other = [np.packbits(o.units[k].other[plain])] if k < plan.order else []
+            numbers = c[plain], below.count[words if k == 2 else ends], c[rest], below.count[e[rest]]
+            yield int(b), block, 0, _put(_narrow(np.diff(nv[cut], prepend=0)), _narrow(sizes), np.packbits(apart), *other), _put(_narrow(np.diff(word[words], prepend=0)), _narrow(step)), _put(*map(_narrow, numbers))
         yield block % plan.buckets[k], block, 1, b"", _put(_tally(c[edges[-1] :])), b""
 
     return work
 
 
-def _open_grams(row: tuple) -> list[np.ndarray]:
-    contexts, sizes, *_ = _get(row[3])
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def _open_grams(row: tuple, k: int) -> list[np.ndarray]:
+    """Contexts; of grams not alone the place of their context among these, the word, both counts; of lone ones all but the word."""
+    contexts, sizes, apart, *_ = _get(row[3])
     words, step = _get(row[4])
-    c, *lower = _get(row[5])
-    cut = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))[:-1]))
-    total = np.cumsum(step.astype(np.int64))
-    number = total - np.repeat(total[cut] - step[cut], sizes)
-    lower = [lower[0], np.repeat(lower[1], sizes)] if len(lower) > 1 else [lower[0][number]]
-    return [np.cumsum(contexts), sizes, np.cumsum(words)[number], c.astype(np.int64), *[x.astype(np.int64) for x in lower]]
-
-
-def _by_gram(contexts: np.ndarray, sizes: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(v, order, new): each gram's context; the order by context and word; where in it another gram begins."""
-    v = np.repeat(contexts, sizes)
-    names, number = np.unique(contexts, return_inverse=True)
-    index = w & ((1 << 36) - 1)
-    most = int(index.max()) + 1
-    dense = (w >> 36) * most + index  # in the order of w
-    span = int(dense.max()) + 1
-    if len(names) * span >= 1 << 63:
+    c, lower, rest, rest_lower = (x.astype(np.int64) for x in _get(row[5]))
+    v = np.repeat(np.arange(len(sizes)), sizes)
+    apart = np.unpackbits(apart, count=len(v)).astype(bool)
+    v, rest_v = v[~apart], v[apart]
+    total, first = np.cumsum(step.astype(np.int64)), _firsts(v)
+    number = total - np.repeat(total[first] - step[first], np.diff(np.append(first, len(v))))
+    return [np.cumsum(contexts.astype(np.int64)), v, np.cumsum(words.astype(np.int64))[number], c, lower[number] if k == 2 else lower, rest_v, rest, rest_lower]
+
+
+def _by_gram(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the order by context and word; where in it another gram begins."""
+    span = int(w.max()) + 1 if len(w) else 1
+    if len(w) and (int(v.max()) + 1) * span >= 1 << 63:
         order = np.lexsort((w, v))
         same = (v[order][1:] == v[order][:-1]) & (w[order][1:] == w[order][:-1])
     else:
-        key, order = _sorted(np.repeat(number, sizes) * span + dense)
+        key, order = _sorted(v * span + w)
         same = key[1:] == key[:-1]
-    return v, order, np.concatenate(([True], ~same))
+    return order, np.concatenate((np.ones(min(1, len(w)), bool), ~same))
 
 
 def _sum_grams(plan: Plan, k: int) -> Callable:
-    """kind 3: the counts of the bucket's grams; kind 9: its counts of counts; kind 4: for each bucket of contexts what its
-    contexts need; and answers to blocks: counts, and below the top level before them the grams' numbers and after them
-    which grams are alone, and a: which held-out documents have."""
+    """kind 3: the counts of the bucket's grams that are not alone; kind 9: its counts of counts; kind 4: for each bucket of
+    contexts what its contexts need; and answers to blocks: counts of grams that are not alone, which are, and below the top
+    level the numbers of those that are not, and a: which of them held-out documents have."""
     top = k == plan.order
 
     def work(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
@@ -509,36 +581,43 @@ def _sum_grams(plan: Plan, k: int) -> Callable:
         if not rows:
             yield bucket, 0, 9, b"", _put(tally), b""
             return
-        opened = [_open_grams(r) for r in rows]
+        opened = [_open_grams(r, k) for r in rows]
         ends = np.cumsum([len(x[2]) for x in opened])[:-1]
-        contexts, sizes, w, c, *lower = (np.concatenate(x) for x in zip(*opened))
+        start = 0
+        for x in opened:
+            x[1], x[5], start = x[1] + start, x[5] + start, start + len(x[0])
+        contexts, v, w, c, lower, rest_v, rest, rest_lower = (np.concatenate(x) for x in zip(*opened))
         del opened
-        v, order, new = _by_gram(contexts, sizes, w)
+        contexts, back = np.unique(contexts, return_inverse=True)
+        v = back[v]
+        order, new = _by_gram(v, w)
         place = np.empty(len(v), np.int64)
         place[order] = np.cumsum(new) - 1
         total = np.bincount(place, c, minlength=int(new.sum())).astype(np.int64)
         alone = np.bincount(place, minlength=len(total)) == 1  # a block names a gram once
         seen = total > 0
-        number = np.maximum(np.cumsum(seen) - 1, 0)  # rises with place, so steps are stored
+        known = seen & ~alone
+        number = np.maximum(np.cumsum(known) - 1, 0)  # rises with place, so steps are stored
         for row, mine in zip(rows, np.split(place, ends)):
-            other = b"" if top else _put(_get(row[3])[2])
-            yield row[1], bucket, _answer(k), other, b"", _put(_narrow(total[mine]), *([] if top else [_narrow(np.diff(number[mine], prepend=0)), np.packbits(alone[mine])]))
+            if len(mine):
+                by_own, shared = alone[mine], mine[~alone[mine]]
+                other = b"" if top else _put(np.packbits(np.unpackbits(_get(row[3])[3], count=len(mine))[~by_own]))
+                yield row[1], bucket, _answer(k), other, b"", _put(_narrow(total[shared]), np.packbits(by_own), *([] if top else [_narrow(np.diff(number[shared], prepend=0))]))
+        yield bucket, 0, 9, b"", _put(tally + _tally(total)), b""
+        if not top and known.any():
+            yield bucket, 0, 3, b"", b"", _put(_narrow(total[known]))
         keep = order[new][seen]
-        sv, sc = v[keep], total[seen]
-        yield bucket, 0, 9, b"", _put(tally + _tally(sc)), b""
-        if not len(sv):
-            return
-        if not top:
-            yield bucket, 0, 3, b"", b"", _put(_narrow(sc))
-        new = np.concatenate(([True], sv[1:] != sv[:-1]))
-        cut, owner = np.flatnonzero(new), np.cumsum(new) - 1
-        mass = np.bincount(owner, plan.lower(k, [x[keep] for x in lower]), minlength=len(cut))
-        low = [np.bincount(owner[sc == r], minlength=len(cut)) for r in range(1, CUT + 1)]
-        context = sv[cut]
-        home = context >> 36
-        for b in np.unique(home):
-            mine = home == b
-            yield int(b), bucket, 4, _put((context[mine] & ((1 << 36) - 1)).astype("<i8"), mass[mine]), _put(*[_narrow(x[mine]) for x in low]), b""
+        owner, counts, lower = np.concatenate((v[keep], back[rest_v])), np.concatenate((total[seen], rest)), np.concatenate((lower[keep], rest_lower))
+        found = np.bincount(owner, minlength=len(contexts)) > 0
+        large = lower > CUT
+        needs = [np.bincount(owner[x == r], minlength=len(contexts)) for x in (counts, lower) for r in range(1, CUT + 1)]
+        needs.append(np.bincount(owner[large], lower[large], minlength=len(contexts)).astype(np.int64))
+        home, index = plan.home(k, contexts)
+        order = np.argsort(home, kind="stable")
+        order = order[found[order]]
+        for mine in np.split(order, _firsts(home[order])[1:]):
+            if len(mine):
+                yield int(home[mine[0]]), bucket, 4, _put(_narrow(np.diff(index[mine], prepend=0))), _put(*[_narrow(x[mine]) for x in needs]), b""
 
     return work
 
@@ -558,31 +637,34 @@ def weights(count: np.ndarray, low: np.ndarray, mass: np.ndarray, discount: np.n
 
 
 def _weigh(discount: np.ndarray, level: int) -> Callable:
-    """Rows of a bucket of contexts (kind 1 or 3 what it holds, 2 who asked, 4 parts) → for each block that asked the
-    weights, of contexts that its held-out documents have (all that training documents hold was seen), and divisors of the
-    contexts seen in training, lone ones left out. level: that of the grams they are contexts of."""
+    """Rows of a bucket of contexts (kind 1 or 3 what it holds, 2 who asked, 4 parts) → for each block that asked what the
+    weights need, of contexts that its held-out documents have (all that training documents hold was seen), and what to add
+    to the counts of contexts seen in training to divide by, lone ones left out. level: that of the grams they are contexts of."""
 
     def work(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
         held = [_get(r[5])[0] for r in rows if r[2] in (1, 3)]
         if not held:
             return
         count = held[0].astype(np.int64)
-        mass, low = np.zeros(len(count)), np.zeros((CUT, len(count)), np.int64)
+        needs = np.zeros((2 * CUT + 1, len(count)), np.int64)
         for r in rows:
             if r[2] == 4:
-                at, m = _get(r[3])
-                mass[at] += m
+                at = np.cumsum(_get(r[3])[0].astype(np.int64))
                 for k, x in enumerate(_get(r[4])):
-                    low[k, at] += x
-        weight, divisor = weights(count, low, mass, discount)
-        plus = (divisor - count).astype("<u1")
+                    needs[k, at] += x.astype(np.int64)
+        _, divisor = weights(count, needs[:CUT], np.zeros(len(count)), discount)
+        plus = (divisor - count).astype("u1")
         for r in rows:
             if r[2] == 2:
-                counts, ids, alone = _get(r[5])
-                ids = ids if level == 2 else np.cumsum(ids.astype(np.int64))
-                other = np.unpackbits(_get(r[3])[0], count=len(ids)).astype(bool)
-                seen = (counts > 0) & ~np.unpackbits(alone, count=len(ids)).astype(bool)
-                yield r[1], bucket, _answer(level) + 1, b"", b"", _put(weight[ids[seen & other]], plus[ids[seen]])
+                counts, *more = _get(r[5])
+                other = np.unpackbits(_get(r[3])[0])
+                if level == 2:  # a block speaks of all its words, of grams only of those that are not alone
+                    ids, other = more[0].astype(np.int64), other[np.unpackbits(more[1]) == 0]
+                else:
+                    ids = np.cumsum(more[1].astype(np.int64))
+                other = other[: len(ids)].astype(bool)
+                seen = counts > 0
+                yield r[1], bucket, _answer(level) + 1, b"", b"", _put(*[_narrow(x[ids[seen & other]]) for x in needs], plus[ids[seen]])
 
     return work
 

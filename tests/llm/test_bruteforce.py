@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -17,6 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import boosting, compression, editcount, iblt, katz, packing, positional, queries, rans, secretscan, simhash, tokens
+from tessera.llm.common import LOWER
 
 
 def texts(df):
@@ -180,6 +183,30 @@ def test_katz_sends_no_lone_grams(small):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_katz_sends_no_words_of_grams_alone_by_their_end(small):
+    """Of a gram that one block alone can have only counts are sent, and no answer comes back; what weights need is whole numbers."""
+    m = katz.Model(small.select("doc_id", F.lit(True).alias("train"), "text"), 3, block_tokens=4000, bucket_grams=3000)
+    for k in (2, 3):
+        sent = m._per_block(katz._send_grams(m.plan, k)).filter("kind = 0").collect()
+        grams, named, lone = ([f(r) for r in sent] for f in (lambda r: katz._get(r["a"])[1].sum(), lambda r: len(katz._get(r["b"])[1]), lambda r: len(katz._get(r["c"])[2])))
+        assert sum(grams) == sum(named) + sum(lone) and sum(lone) > 0
+        back = m.answers.filter(f"kind = {katz._answer(k)}").collect()
+        assert sum(8 * len(katz._get(r["c"])[1]) for r in back) < sum(named) + 8 * len(back)
+    needs = m.answers.filter("kind in (6, 16)").collect()
+    assert needs and all(x.dtype.kind == "u" for r in needs for x in katz._get(r["c"]))
+
+
+def test_katz_words():
+    """Words of odd texts, against Python's own splitting."""
+    kinds = [*map(chr, range(40)), *"AZz", "Ä", "\u3000", "\xa0", "\x85", "日", "\U0001f600", "", " ", " ", "\n"]
+    rng = random.Random(1)
+    rows = ["".join(rng.choices(kinds, k=rng.randrange(30))) for _ in range(3000)] + [None, "", " \n ", "\x00"]
+    lists, sizes = katz._words(pa.array(rows))
+    for text, got, n in zip(rows, lists.to_pylist(), sizes.tolist()):
+        want = (text or "").encode().translate(LOWER).split()
+        assert n == len(want) and (got == [w.decode() for w in want] or got == [""] and not want)
+
+
 # --- 5 sketches
 
 
